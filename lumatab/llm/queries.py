@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatab.llm import quality_rules, shard_table, shared, token_files
+from lumatab.llm import fair_mix, quality_rules, shard_table, shared, token_files, word_bpe
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +24,24 @@ def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table.place(shared.table(spark, sf_dir, "documents").select("doc_id"), shard_table.SHARDS)
 
 
+def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode(shared.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.queue(shared.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op3_token_files": op3_token_files,
     "op4_shard_table": op4_shard_table,
+    "op5_word_bpe": op5_word_bpe,
+    "op6_fair_mix": op6_fair_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_quality": quality_rules.SQL,
     "op4_shard_table": shard_table.oracle(),
+    "op6_fair_mix": fair_mix.SQL,
 }
