@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatab.llm import fair_mix, quality_rules, shard_table, shared, token_files, word_bpe
+from lumatab.llm import fair_mix, quality_rules, shard_table, shared, simhash, token_files, word_bpe
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +32,17 @@ def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.queue(shared.table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op3_token_files": op3_token_files,
     "op4_shard_table": op4_shard_table,
     "op5_word_bpe": op5_word_bpe,
     "op6_fair_mix": op6_fair_mix,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
