@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatab.llm import fair_mix, quality_rules, shard_table, shared, simhash, token_files, word_bpe
+from lumatab.llm import embedding_dedup, fair_mix, quality_rules, shard_table, shared, simhash, token_files, word_bpe
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.queue(shared.table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(shared.table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shard_table": op4_shard_table,
     "op5_word_bpe": op5_word_bpe,
     "op6_fair_mix": op6_fair_mix,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_simhash": op9_simhash,
 }
 
@@ -49,4 +54,5 @@ ORACLES: dict[str, str] = {
     "op1_line_quality": quality_rules.SQL,
     "op4_shard_table": shard_table.oracle(),
     "op6_fair_mix": fair_mix.SQL,
+    "op7_embedding_dedup": embedding_dedup.SQL,
 }
