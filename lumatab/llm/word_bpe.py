@@ -22,7 +22,7 @@ import tempfile
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -184,7 +184,7 @@ def merges_of(path: str) -> Merges:
     return Merges(path)
 
 
-@cache
+@lru_cache(2)
 def encoder_of(path: str, lexicon: str | None) -> Encoder:
     return Encoder(merges_of(path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
@@ -230,10 +230,11 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int
     merges = merges_of(path)
     data = compile_words({w.encode(): merges.merge(w) for w in words if w not in merges.special})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.lex"
-    local = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(local, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(local)  # Spark serves it to every executor
+    if not any(f.endswith("/" + name) for f in spark.sparkContext.listFiles):  # the same words again: the same file
+        local = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
+        with open(local, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(local)  # Spark serves it to every executor
     return name
 
 
