@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatab.llm import embedding_dedup, fair_mix, quality_rules, shard_table, shared, simhash, token_files, word_bpe
+from lumatab.llm import embedding_dedup, fair_mix, quality_rules, rule_ensemble, shard_table, shared, simhash, token_files, toxicity, word_bpe
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_quality(shared.table(spark, sf_dir, "documents"))
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.train(docs, shared.table(spark, sf_dir, "labels")))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = shared.folder(spark, "token-shards")
     manifest = token_files.write_shards(shared.table(spark, sf_dir, "documents"), uri, public_tokenizers.path("byte_bpe_50k.json"))
@@ -40,14 +45,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, shared.table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op3_token_files": op3_token_files,
     "op4_shard_table": op4_shard_table,
     "op5_word_bpe": op5_word_bpe,
     "op6_fair_mix": op6_fair_mix,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
