@@ -138,10 +138,22 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that pass, whole rows, texts unchanged. Every row is judged by itself, so repeated ids are no trouble."""
-    verdict = F.udf(lambda t: judge(t, rules)[6], "boolean", useArrow=True)
-    return docs.where(verdict(F.col(text_col).cast("string")))
+def cleaned_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", rules: LineRules = LineRules()) -> DataFrame:
+    """The documents that pass, without their failing lines; chars_col, where it exists, gets the new length in code points."""
+    at = docs.columns.index(text_col)
+    counted = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, row[8]) for i, t in enumerate(b.column(at).to_pylist()) if (row := judge(t, rules))[6]]
+            out = b.take(pa.array([i for i, _ in found], pa.int64()))
+            cols = list(out.columns)
+            cols[at] = pa.array([t for _, t in found], b.schema.field(at).type)
+            if counted is not None:
+                cols[counted] = pa.array([len(t) for _, t in found], b.schema.field(counted).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 _LINE_SQL = " OR ".join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumatab.llm import embedding_dedup, fair_mix, quality_rules, rule_ensemble, shard_table, shared, simhash, token_files, toxicity, word_bpe
+from lumatab.llm import embedding_dedup, fair_mix, html_text, quality_rules, rule_ensemble, shard_table, shared, simhash, token_files, toxicity, word_bpe
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(shared.table(spark, sf_dir, "embeddings"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(shared.table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(shared.table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_word_bpe": op5_word_bpe,
     "op6_fair_mix": op6_fair_mix,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_html_text": op8_html_text,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumatab.llm import shared
 from lumatab.llm.quality_rules import SPACES, repeated_words
@@ -233,7 +234,14 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 
 def accepted(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of one half or more."""
-    stats = F.udf(lambda t: statistics(t), "array<double>", useArrow=True)(F.col(text_col).cast("string"))
-    name = "_stats_"
+    at, name = docs.columns.index(text_col), "_stats_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [v for t in b.column(at) for v in statistics(t.as_py())]
+            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * len(STATISTICS)
+            yield b.append_column(name, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64())))
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
     value = model.column({i: F.col(name)[i] for i in range(len(STATISTICS))})
-    return docs.withColumn(name, stats).where(value >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.where(value >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
