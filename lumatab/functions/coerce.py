@@ -79,7 +79,7 @@ def like_original(moment: Column, original: Column) -> Column:
 
 
 def lag_days(before: Column, after: Column) -> Column:
-    return (F.unix_micros(after) - F.unix_micros(before)) / F.lit(86_400_000_000.0)
+    return (F.unix_micros(after.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / F.lit(86_400_000_000.0)
 
 
 def elapsed_months(moment: Column, as_of: Column) -> Column:
