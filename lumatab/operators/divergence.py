@@ -6,11 +6,11 @@ side; the work after that is on distinct values or bins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatab.functions.coerce import number
-from lumatab.operators.running import running_totals, with_next
+from lumatab.operators.running import running_totals
 
 EPS = 1e-12
 
@@ -50,39 +50,47 @@ def categorical_divergence(original: DataFrame, derived: DataFrame, columns: lis
     return cells.groupBy("column_name").agg((F.sum(F.abs(p - q)) / 2).alias("tvd"), F.sum(_jsd(p, q, norm, norm)).alias("jsd"))
 
 
-def bin_limits(original: DataFrame, derived: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, low, high, n_values): both tables' range, and 2 where there is more than one value."""
-    tall = _tall(original, derived, columns, True)
-    return tall.groupBy("column_name").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-
-
 def histogram(original: DataFrame, derived: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
-    """(column_name, bin, low, high, n0, n1, t0, t1) for all bins, also empty ones; bin 0 holds nulls, the last bin its upper edge.
+    """(column_name, bin, bin_low, bin_high, n0, n1, t0, t1) for all bins, also empty ones; bin 0 holds nulls, the last bin its upper edge.
 
-    A value's bin is the number of edges low + i * step at or below it, the form in which different engines agree.
+    A value's bin is the number of edges low + i * step at or below it, the form in which different engines
+    agree: a guess by division is moved by one edge where rounding put it wrong. Ranges, two numbers a
+    column, are found first; rows are then counted without a shuffle before the partial sums.
     """
-    limits = bin_limits(original, derived, columns)
-    step = (F.col("high") - F.col("low")) / bins
-    edge = lambda i: i * step + F.col("low")
-    at = F.lit(1)
-    for i in range(1, bins):
-        at = at + (F.col("value") >= edge(F.lit(float(i)))).cast("int")
-    at = F.when(F.col("value").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(at)
-    tall = _tall(original, derived, columns, True).join(F.broadcast(limits), "column_name")
-    counts = tall.groupBy("column_name", at.alias("bin")).agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
-    frame = limits.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("low") < F.col("high"), bins).otherwise(1))).alias("bin"))
-    full = frame.join(counts, ["column_name", "bin"], "left").fillna(0, ["n0", "n1"])
-    totals = counts.groupBy("column_name").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    low = F.when(F.col("bin") > 0, edge(F.col("bin") - 1))
-    high = F.when(F.col("bin") > 0, F.when(F.col("low") == F.col("high"), F.col("high")).otherwise(edge(F.col("bin"))))
-    return full.join(F.broadcast(totals), "column_name").select("column_name", "bin", low.alias("bin_low"), high.alias("bin_high"), "n0", "n1", "t0", "t1")
+    spark = original.sparkSession
+    ends = [df.agg(*(f(number(F.col(c), df.schema[c].dataType)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("l", F.min), ("h", F.max)))).first() for df in (original, derived)]
+    low = {c: min((e[f"l{i}"] for e in ends if e[f"l{i}"] is not None), default=None) for i, c in enumerate(columns)}
+    high = {c: max((e[f"h{i}"] for e in ends if e[f"h{i}"] is not None), default=None) for i, c in enumerate(columns)}
+
+    def bin_of(v: Column, c: str) -> Column:
+        if low[c] is None or low[c] == high[c]:
+            return F.when(v.isNull(), 0).otherwise(1)
+        step = (high[c] - low[c]) / bins
+        edge = lambda k: k * step + low[c]
+        k = F.least(F.floor((v - low[c]) / step).cast("double"), F.lit(bins - 1.0))
+        moved = k + ((k < bins - 1) & (v >= edge(k + 1))).cast("int") - ((k > 0) & (v < edge(k))).cast("int")
+        return F.when(v.isNull(), 0).otherwise(moved.cast("int") + 1)
+
+    def counted(df: DataFrame, side: int) -> DataFrame:
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), bin_of(number(F.col(c), df.schema[c].dataType), c).alias("bin")) for c in columns)))
+        n = df.select(cells.alias("p")).groupBy("p.column_name", "p.bin").agg(F.count("*").alias("n"))
+        return n.select("column_name", "bin", F.when(F.lit(side == 0), F.col("n")).otherwise(0).alias("n0"), F.when(F.lit(side == 1), F.col("n")).otherwise(0).alias("n1"))
+
+    frame = []
+    for c in columns:
+        flat = low[c] is None or low[c] == high[c]
+        step = 0.0 if flat else (high[c] - low[c]) / bins
+        frame += [(c, b, None if b == 0 or low[c] is None else (b - 1) * step + low[c], None if b == 0 or low[c] is None else high[c] if flat else b * step + low[c], 0, 0) for b in range(2 if flat else bins + 1)]
+    empty = spark.createDataFrame(frame, "column_name string, bin int, bin_low double, bin_high double, n0 bigint, n1 bigint")
+    found = counted(original, 0).unionByName(counted(derived, 1)).withColumns({"bin_low": F.lit(None).cast("double"), "bin_high": F.lit(None).cast("double")})
+    cells = empty.unionByName(found).groupBy("column_name", "bin").agg(F.max("bin_low").alias("bin_low"), F.max("bin_high").alias("bin_high"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    per = Window.partitionBy("column_name")  # a row a bin
+    return cells.withColumns({"t0": F.sum("n0").over(per), "t1": F.sum("n1").over(per)})
 
 
 def numerical_jsd(original: DataFrame, derived: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
     """(column_name, jsd) over equal-width bins and a bucket for nulls."""
-    cells = histogram(original, derived, columns, bins)
-    size = cells.groupBy("column_name").agg(F.count("*").alias("cells"))
-    cells = cells.join(F.broadcast(size), "column_name")
+    cells = histogram(original, derived, columns, bins).withColumn("cells", F.count("*").over(Window.partitionBy("column_name")))
     # EPS is added to counts here, before they are made shares
     p, q = F.col("n0").cast("double"), F.col("n1").cast("double")
     return cells.groupBy("column_name").agg(F.sum(_jsd(p, q, F.col("t0") + F.col("cells") * EPS, F.col("t1") + F.col("cells") * EPS)).alias("jsd"))
@@ -98,8 +106,6 @@ def distribution_table(original: DataFrame, derived: DataFrame, columns: list[st
 
 def top_categories(original: DataFrame, derived: DataFrame, columns: list[str], top: int = 12) -> DataFrame:
     """The values most frequent in both tables together, ties by value (null first), with counts and percentages a side."""
-    from pyspark.sql import Window
-
     cells = value_counts(original, derived, columns)
     place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc(F.col("n0") + F.col("n1")), F.asc_nulls_first("value")))
     pct = lambda n, t: F.round(100 * F.col(n) / F.col(t), 2)
@@ -112,7 +118,7 @@ def distribution_distance(original: DataFrame, derived: DataFrame, columns: list
     """(column_name, wasserstein, similarity, ks): area and largest gap between the two distribution functions, null without values on a side."""
     cells = value_counts(original, derived, columns, numeric=True).where("value IS NOT NULL").drop("t0", "t1")
     totals = cells.groupBy("column_name").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    ordered = with_next(running_totals(cells, "column_name", "value", {"c0": "n0", "c1": "n1"}), "column_name", "value", "next")
+    ordered = running_totals(cells, "column_name", "value", {"c0": "n0", "c1": "n1"}, following="next")
     gap = F.abs(F.col("c0") / F.nullif(F.col("t0"), F.lit(0)) - F.col("c1") / F.nullif(F.col("t1"), F.lit(0)))
     found = ordered.join(F.broadcast(totals), "column_name").groupBy("column_name").agg(F.sum(gap * (F.col("next") - F.col("value"))).alias("w"), F.max(gap).alias("ks"), F.max(gap.isNull()).alias("none"))
     distance = F.when(~F.col("none"), F.coalesce("w", F.lit(0.0)))

@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_totals(df: DataFrame, group: str, order: str, totals: dict[str, str], parts: int = 64) -> DataFrame:
+def part_of(value: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many cuts lie below a value, as a tree of comparisons: a few of them a row, all in generated code."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(value <= cuts[mid], part_of(value, cuts[:mid], first)).otherwise(part_of(value, cuts[mid + 1 :], first + mid + 1))
+
+
+def running_totals(df: DataFrame, group: str, order: str, totals: dict[str, str], following: str | None = None, parts: int = 64) -> DataFrame:
     """df, one row per (group, order), with running sums: totals maps a new column to the one it adds up, its own row included.
 
-    The order is cut into ranges at approximate quantiles; sums within a range are windows of their own, and
-    the sums of earlier ranges come from a table of groups x ranges.
+    With `following` a column of that name has the group's next larger value, null for the last. Groups are
+    few (columns of a table). The order is cut into ranges at approximate quantiles, `parts` numbers a group;
+    a window is one range, and what lies before it comes from a table of groups x ranges.
     """
-    cuts = df.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    cut = df.join(F.broadcast(cuts), group)  # a row for each group, which are columns of a table
-    cut = cut.withColumn("_part", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col(order)).cast("int"))).drop("_cuts")
-    inner = Window.partitionBy(group, "_part").orderBy(order)
+    cuts = {r[group]: sorted(set(r["c"] or [])) for r in df.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("c")).collect()}
+    part = F.lit(0)
+    for name, at in cuts.items():
+        part = F.when(F.col(group) == name, part_of(F.col(order), at)).otherwise(part)
+    cut = df.withColumn("_part", part)
+    sums = cut.groupBy(group, "_part").agg(F.min(order).alias("_first"), *(F.sum(v).alias(f"_s_{k}") for k, v in totals.items()))
     earlier = Window.partitionBy(group).orderBy("_part")
-    sums = cut.groupBy(group, "_part").agg(*(F.sum(v).alias(f"_s_{k}") for k, v in totals.items()))
-    sums = sums.select(group, "_part", *((F.sum(f"_s_{k}").over(earlier) - F.col(f"_s_{k}")).alias(f"_b_{k}") for k in totals))
-    inside = cut.withColumns({f"_w_{k}": F.sum(v).over(inner) for k, v in totals.items()})
-    joined = inside.join(sums, [group, "_part"])
-    return joined.select(*df.columns, *((F.col(f"_w_{k}") + F.col(f"_b_{k}")).alias(k) for k in totals))
-
-
-def with_next(df: DataFrame, group: str, order: str, name: str, parts: int = 64) -> DataFrame:
-    """df, one row per (group, order), with the next larger value of its group (null for the last), by the same ranges."""
-    cuts = df.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    cut = df.join(F.broadcast(cuts), group)
-    cut = cut.withColumn("_part", F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col(order)).cast("int"))).drop("_cuts")
-    firsts = cut.groupBy(group, "_part").agg(F.min(order).alias("_first"))
-    firsts = firsts.select(group, "_part", F.lead("_first").over(Window.partitionBy(group).orderBy("_part")).alias("_after"))
+    sums = sums.select(group, "_part", F.lead("_first").over(earlier).alias("_after"), *((F.sum(f"_s_{k}").over(earlier) - F.col(f"_s_{k}")).alias(f"_b_{k}") for k in totals))
     inner = Window.partitionBy(group, "_part").orderBy(order)
-    joined = cut.withColumn("_next", F.lead(order).over(inner)).join(firsts, [group, "_part"])
-    return joined.select(*df.columns, F.coalesce("_next", "_after").alias(name))
+    inside = cut.withColumns({"_next": F.lead(order).over(inner)} | {f"_w_{k}": F.sum(v).over(inner) for k, v in totals.items()})
+    joined = inside.join(F.broadcast(sums), [group, "_part"])  # at most groups x parts rows
+    extra = [F.coalesce("_next", "_after").alias(following)] if following else []
+    return joined.select(*df.columns, *((F.col(f"_w_{k}") + F.col(f"_b_{k}")).alias(k) for k in totals), *extra)

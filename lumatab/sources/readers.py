@@ -63,6 +63,8 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     python = {"UTF-8": "utf-8-sig", "x-windows-949": "cp949", "EUC-KR": "euc-kr"}[code]
     text = sample.decode(python, "ignore")
     mark = delimiter or ("\t" if _ending(path) == "tsv" else delimiter_of(text))
+    if code != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Korean encodings are not on Spark's short list; stays on, since reading is lazy
     reader = spark.read.option("header", True).option("sep", mark).option("encoding", code).option("multiLine", True).option("escape", '"')
     if strict:
         import csv
