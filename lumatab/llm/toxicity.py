@@ -222,7 +222,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray, share: float, dim: int = 8, war
         epoch += 1
     weights = np.zeros(buckets, np.float32)
     weights[learner.used[1:]] = learner.weights()[1:]
-    seen = float(y.mean())
+    seen = float(truth.mean())  # label 1's share of what the last epoch learned from
     return SubwordModel(float(learner.bias[1] - learner.bias[0]) + prior - float(np.log(seen / (1 - seen))), weights)
 
 
