@@ -19,7 +19,9 @@ def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
 def pearson(df: DataFrame, columns: list[str], name: str = "r") -> DataFrame:
     """(pair, r) of all pairs over complete rows, 0 where a column is constant; one aggregation for all pairs."""
     pairs = list(combinations(columns, 2))
-    one = _complete(df, columns).agg(*(F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
+    # not corr(), which divides by zero for a constant column
+    r = lambda a, b: F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    one = _complete(df, columns).agg(*(r(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
     cells = F.explode(F.array(*(F.struct(F.lit(f"{a} x {b}").alias("pair"), F.coalesce(F.nanvl(f"p{i}", F.lit(None).cast("double")), F.lit(0.0)).alias(name)) for i, (a, b) in enumerate(pairs))))
     return one.select(cells.alias("c")).select("c.*")
 
@@ -52,10 +54,10 @@ def correlation_score(pairs: DataFrame) -> DataFrame:
 
 
 def frobenius_fidelity(original: DataFrame, derived: DataFrame, columns: list[str]) -> DataFrame:
-    """(distance, fidelity): Frobenius norm of the difference of the correlation matrices, and 1 - norm / number of columns, 0 at least."""
+    """(distance, fidelity): Frobenius norm of the difference of the correlation matrices, and 1 - norm over the largest it can be, 0 at least."""
     gap = correlation_preservation(original, derived, columns)
     norm = F.sqrt(2 * F.sum(F.col("absolute_error") * F.col("absolute_error")))
-    return gap.agg(norm.alias("distance"), F.greatest(F.lit(0.0), 1 - norm / len(columns)).alias("fidelity"))
+    return gap.agg(norm.alias("distance"), F.greatest(F.lit(0.0), 1 - norm / (2 * len(columns))).alias("fidelity"))
 
 
 def _v(n: Column, phi2: Column, r: Column, k: Column) -> Column:

@@ -229,3 +229,58 @@ def subspace_distance(original: DataFrame, derived: DataFrame, numerical: list[s
     found = rows.agg(F.percentile("d1", 0.05).alias("dcr_p05"), F.median("d1").alias("dcr_median"), F.percentile(ratio, 0.05).alias("nndr_p05"), F.median(ratio).alias("nndr_median"), F.avg((ratio < 0.2).cast("double")).alias("nndr_low_ratio"), F.avg((F.col("d1") <= 1e-12).cast("double")).alias("exact_qi_match_rate"))
     status = F.when(F.col("dcr_median").isNull(), "NOT_EVALUATED").when((F.col("exact_qi_match_rate") > 0) | (F.col("dcr_p05") <= 1e-12) | (F.col("nndr_low_ratio") > 0.15), "FAIL").when(F.col("nndr_low_ratio") > 0.05, "REVIEW").otherwise("PASS")
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns), status.alias("status"))
+
+
+def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: list[str], quasi: list[str] | None = None, bounds: dict[str, tuple[float, float]] | None = None, seed: int = 42, attempts: int = 8) -> DataFrame:
+    """derived without copies of original rows: numbers outside the quasi-identifiers are moved a little, until the row is no copy.
+
+    Then rows whose quasi-identifiers occur once in the original get them generalised, numbers moved and text
+    replaced by a label. A row for which no attempt helps is left out. All attempts are made at once, for
+    matched rows only, and tested by anti-joins; the first that holds is kept.
+    """
+    from pyspark.sql import types as T
+
+    from lumatab.operators.generate import normal
+
+    quasi, bounds = quasi or [], bounds or {}
+    is_number = lambda c: isinstance(derived.schema[c].dataType, T.NumericType)
+    numeric = [c for c in columns if is_number(c)]
+    both = original.select(*(number(F.col(c), original.schema[c].dataType).alias(c) for c in numeric)).unionByName(derived.select(*(number(F.col(c), derived.schema[c].dataType).alias(c) for c in numeric)))
+    mid = both.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in numeric)).first() if numeric else {}  # three numbers a column
+    mad = both.agg(*(F.median(F.abs(F.col(c) - (mid[c][1] if mid[c] else 0.0))).alias(c) for c in numeric)).first() if numeric else {}
+    scale = {c: max((mid[c][2] - mid[c][0]) / 1.349, 1.4826 * mad[c], abs(mid[c][1]) * 0.01, 1e-6) if mid[c] else 1.0 for c in numeric}
+
+    def moved(c: str, attempt: int, start: float) -> Column:
+        whole = isinstance(derived.schema[c].dataType, T.IntegralType)
+        width = scale[c] * (start + 0.05 * attempt)
+        z = normal(F.col(key), seed, f"{c}:{attempt}")
+        step = F.signum(z) * max(1, round(width)) if whole else z * width
+        value = F.col(c).cast("double") + F.when(step == 0, F.lit(width)).otherwise(step)
+        if c in bounds:
+            value = F.greatest(F.lit(float(bounds[c][0])), F.least(F.lit(float(bounds[c][1])), value))
+        return value.cast(derived.schema[c].dataType)
+
+    def first_free(rows: DataFrame, options: list[dict[str, Column]], taken: DataFrame, on: list[str]) -> DataFrame:
+        """Each row with its first option that is not among the taken ones."""
+        if not options:
+            return rows.limit(0)
+        tries = F.explode(F.array(*(F.struct(F.lit(i).alias("_try"), *(o.get(c, F.col(c)).alias(c) for c in rows.columns)) for i, o in enumerate(options))))
+        spread = rows.select(tries.alias("t"), F.struct(*rows.columns).alias("_old")).select("t.*", "_old")
+        right = taken.select(*(F.col(c).alias(f"_t_{c}") for c in on))
+        free = spread.join(right, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in on)), "left_anti")
+        best = free.groupBy(key, "_old").agg(F.min_by(F.struct(*rows.columns), "_try").alias("r"))
+        return best.select("r.*")
+
+    marked = matched_rows(original, derived, columns)
+    clean, copied = marked.where("_copies = 0").drop("_copies"), marked.where("_copies > 0").drop("_copies")
+    options = [{c: moved(c, a, 0.05)} for c in numeric if c not in quasi for a in range(attempts)]
+    options = [{c: F.when(F.col(c).isNotNull(), v).otherwise(F.col(c)) for c, v in o.items()} for o in options]
+    out = clean.unionByName(first_free(copied, options, original.select(*columns).distinct(), columns))
+    if not quasi:
+        return out
+    once = original.groupBy(*quasi).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    right = once.select(*(F.col(c).alias(f"_u_{c}") for c in quasi))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in quasi))
+    safe, risky = out.join(right, same, "left_anti"), out.join(right, same, "left_semi")
+    ways = [{c: moved(c, a, 0.1)} for c in quasi if is_number(c) for a in range(attempts)] + [{c: F.lit("GENERALIZED")} for c in quasi if not is_number(c)]
+    return safe.unionByName(first_free(risky, ways, once, quasi))

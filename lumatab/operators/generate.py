@@ -288,3 +288,24 @@ def fake_values(df: DataFrame, kind: str, column: str, key: str, seed: int = 42)
         "address": lambda: F.concat(pick(["서울특별시 중구", "부산광역시 남구", "대전광역시 서구"], "c"), F.lit(" "), pick(["중앙로", "시청로", "공원로"], "r"), F.lit(" "), digits(2, "n")),
     }
     return df.withColumn(column, F.when(F.col(column).isNotNull(), made[kind]()) if column in df.columns else made[kind]())
+
+
+def dummy_tables(spark: SparkSession, tables: dict[str, tuple[int, dict[str, dict[str, Any]]]], links: list[Relationship], seed: int = 42) -> dict[str, DataFrame]:
+    """Several tables from rules, children pointing at parent rows that exist: a child draws a parent's row number, and the key follows from the parent's rule by a join."""
+    made = {n: dummy_table(spark, rows, columns, seed) for n, (rows, columns) in tables.items()}
+    for r in links:
+        parent = made[r.parent_table].select(F.col("row_id").alias("_p"), F.col(r.parent_key).alias("_key"))
+        pick = F.floor(uniform(F.col("row_id"), seed, f"{r.child_table}.{r.child_key}") * tables[r.parent_table][0]).cast("bigint")
+        child = made[r.child_table]
+        joined = child.drop(r.child_key).withColumn("_pick", pick).join(parent, F.col("_pick") == F.col("_p"))
+        columns = [c for c in child.columns if c != r.child_key]
+        made[r.child_table] = joined.select(*columns, F.col("_key").alias(r.child_key))
+    return made
+
+
+def repeated_output(made: DataFrame, source: DataFrame, columns: list[str], made_key: str, source_order: list[str], seed: int = 42) -> DataFrame:
+    """made with columns of the source taken in turn: row n gets the source's row n modulo its size. made_key numbers rows from 0."""
+    numbered, n = _numbered(source.select(*dict.fromkeys([*columns, *source_order])), source_order, seed)
+    right = numbered.select(F.col("_n"), *(F.col(c).alias(f"_s_{c}") for c in columns))
+    joined = made.drop(*columns).withColumn("_at", F.col(made_key) % max(n, 1)).join(right, F.col("_at") == F.col("_n"), "left")
+    return joined.select(*(c for c in made.columns if c not in columns), *(F.col(f"_s_{c}").alias(c) for c in columns))

@@ -340,8 +340,8 @@ def discover_conditional_nulls(df: DataFrame, conditions: list[str], targets: li
     return out.select(F.col("c").alias("condition_column"), F.col("v").alias("condition_value"), "target_column", F.round(F.col("k") / F.col("n"), 6).alias("confidence"), F.round(F.col("n") / F.col("rows"), 6).alias("support"))
 
 
-#: What stands for "no" in text.
-NEGATIVES = ("N", "n", "No", "no", "NO", "0", "무", "아니오", "없음", "False", "false")
+# What stands for "no" in text.
+NEGATIVES = ("N", "n", "0", "무", "없음", "비해당", "미해당")
 
 
 def discover_zero_implications(df: DataFrame, numeric: list[str], text: list[str], at_least: float = 0.99) -> DataFrame:

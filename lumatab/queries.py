@@ -442,7 +442,7 @@ def _(spark, sf):
     return rounded(association.correlation_score(association.correlation_preservation(*halves(spark, sf), NUM, spearman=True)))
 
 
-@query("frobenius_fidelity", _corr_sql(NUM, False) + " SELECT round(sqrt(2 * sum((o - d) * (o - d))), 6) AS distance, round(greatest(0, 1 - sqrt(2 * sum((o - d) * (o - d))) / 4), 6) AS fidelity FROM c")
+@query("frobenius_fidelity", _corr_sql(NUM, False) + " SELECT round(sqrt(2 * sum((o - d) * (o - d))), 6) AS distance, round(greatest(0, 1 - sqrt(2 * sum((o - d) * (o - d))) / 8), 6) AS fidelity FROM c")
 def _(spark, sf):
     return rounded(association.frobenius_fidelity(*halves(spark, sf), NUM))
 
