@@ -225,16 +225,20 @@ class _Maker:
         return " ".join(words)
 
     def body(self) -> str:
-        """Blocks of an article."""
+        """Blocks of an article; now and then one begins like something else, and is still part of it."""
         r, out = self.r, []
+        odd = r.random() < 0.2
+        lead = lambda: r.choice(["All rights reserved.", "Copyright of", "Read more", "Comments", "Search", "Subscribe", "Cookies", "Related", "Share", "Advertisement", "Sponsored by", "Follow us"]) + " " if odd and r.random() < 0.35 else ""
         if r.random() < 0.85:
-            out.append(f"<h1>{self.words(2, 14)}{r.choice(['', '', '.'])}</h1>")
+            out.append(f"<h1>{(lead() + self.words(0 if odd else 2, 14)).strip()}{r.choice(['', '', '.'])}</h1>")
         n = r.choice([1, 1, 2, 3, 4, 6, 9, 14])
         p = r.choice(["p", "p", "p", "p", "div"])
         for _ in range(n):
             x = r.random()
             if x < 0.8:
-                text = self.inline(self.prose(r.choice([1, 1, 2, 4, 8, 15])))
+                text = lead() + self.inline(self.prose(r.choice([1, 1, 2, 4, 8, 15])))
+                if odd and r.random() < 0.15:
+                    text = lead() or text
                 out.append(f"<{p}>{text}" + (f"</{p}>" if p == "div" or r.random() < 0.9 else ""))
             elif x < 0.86:
                 out.append(f"<h{r.choice('2234')}>{self.words(1, 8)}</h2>".replace("</h2>", "") + "</h2></h3></h4>")
@@ -300,7 +304,9 @@ class _Maker:
             after.append(f'<footer data-y="0"{self.attr(TOKENS["foot"], 0.4)}>{inner}</footer>' if r.random() < 0.75 else self.box(inner, TOKENS["foot"], "div", 0.95))
         body = self.body()
         x = r.random()
-        if x < 0.5:
+        if r.random() < 0.05:  # nothing but surroundings
+            body = "".join(self.insert() for _ in range(r.randint(0, 3)))
+        elif x < 0.5:
             body = f'<article data-y="1"{self.attr(TOKENS["main"], 0.3)}>{body}</article>'
         elif x < 0.65:
             body = f'<main data-y="1"{self.attr(TOKENS["main"], 0.2)}>{body}</main>'
@@ -326,7 +332,7 @@ def labelled(page: Page) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def model(pages: int = 1200, seed: int = 11) -> Boosted:
+def model(pages: int = 2000, seed: int = 11) -> Boosted:
     """Trees over the generator's pages."""
     maker = _Maker(seed)
     xs, ys, ws = [], [], []
