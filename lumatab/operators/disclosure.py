@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumatab.functions.coerce import number
+from lumatab.operators.sampling import smallest
 
 
 def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -149,7 +150,7 @@ def attribute_inference(original: DataFrame, derived: DataFrame, quasi: list[str
 def _sample(df: DataFrame, key: str, columns: list[str], numeric: list[str], size: int) -> DataFrame:
     """A bounded sample that does not depend on order or partitions: the rows with the smallest md5 of their key."""
     read = [number(F.col(c), df.schema[c].dataType).alias(c) if c in numeric else F.coalesce(F.col(c).cast("string"), F.lit("__NA__")).alias(c) for c in columns]
-    return df.select(F.col(key).cast("string").alias("_id"), *read).orderBy(F.md5("_id"), "_id").limit(size)
+    return smallest(df.select(F.col(key).cast("string").alias("_id"), *read), F.md5("_id"), ["_id"], size)
 
 
 def _one_array(sample: DataFrame, columns: list[str]) -> DataFrame:
