@@ -124,10 +124,19 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their columns."""
-    got = queue(docs, id_col, text_col, source_col, weights, max_passes, keep=tuple(docs.columns)).where("passes > 0")
-    kept = [F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return got.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("passes").cast("int")))).select(*kept)
+    """The rows of docs as often as the mix takes them, with their columns.
+
+    The queue runs on ids, sizes and row hashes; whole rows are shuffled once, to meet their number of passes.
+    Fully equal rows share their passes evenly.
+    """
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    got = queue(docs.withColumn("_row_", row), id_col, text_col, source_col, weights, max_passes, keep=("_row_",))
+    per = got.groupBy(F.struct(F.col(id_col).alias("id"), F.col("_keep_0").alias("row")).alias("_key_")).agg(F.sum("passes").alias("_all_"), F.count("*").alias("_equal_"))
+    keyed = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(per.where("_all_ > 0"), "_key_")
+    turn = F.row_number().over(Window.partitionBy("_key_").orderBy("_key_"))  # partitioned and sorted by the join already
+    times = F.floor(F.col("_all_") / F.col("_equal_")) + (turn <= F.col("_all_") % F.col("_equal_")).cast("bigint")
+    out = keyed.withColumn("_times_", times.cast("int")).where("_times_ > 0")
+    return out.withColumn("_turn_", F.explode(F.sequence(F.lit(1), F.col("_times_")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = """

@@ -60,3 +60,14 @@ def test_edge_rows(spark):
     assert [x.taken for x in zero] == [0, 0]
     mixed = fair_mix.mixed_documents(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "size").withColumnRenamed("n_chars", "key"))
     assert mixed.columns == ["doc_id", "text", "size", "source", "key"]
+
+
+def test_mixed_rows_add_up(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * r.randint(0, 40)), "en", r.choice("aab"), i) for i in range(80)] * 2 + [(5, "other text", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for q in fair_mix.queue(docs).collect():
+        want[q.doc_id] = want.get(q.doc_id, 0) + q.passes
+    got = {x.doc_id: x["count"] for x in fair_mix.mixed_documents(docs).groupBy("doc_id").count().collect()}
+    assert got == {k: v for k, v in want.items() if v}
