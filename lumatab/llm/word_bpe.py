@@ -133,6 +133,19 @@ class Merges:
         return b" ".join(map(self.tokens.__getitem__, ids))
 
 
+class _Numbers(dict):
+    """Gives every new word the next number and notes it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Encodes batches of texts; remembers a bounded number of words."""
 
@@ -141,13 +154,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = _Numbers()
         self.ends, self.flat = array("q", [0]), array("I")
 
     def _learn(self, new: list[str]) -> None:
         place = self.lexicon.find([w.encode() for w in new]).tolist() if self.lexicon is not None else [-1] * len(new)
         for w, p in zip(new, place, strict=True):
-            self.memo[w] = len(self.ends) - 1
             self.flat.extend(self.lexicon.output(p).tolist() if p >= 0 and w not in self.merges.special else self.merges.merge(w))
             self.ends.append(len(self.flat))
 
@@ -168,10 +180,11 @@ class Encoder:
     def _ids(self, words: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.memo) > MEMO:
             self._forget()
-        if new := set(words).difference(self.memo):
-            self._learn(list(new))
-        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         slot = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        if self.memo.new:
+            self._learn(self.memo.new)
+            self.memo.new = []
+        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         begin = ends[slot]
         size = ends[slot + 1] - begin
         upto = np.cumsum(size)
