@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lumatab.llm import shared
 from lumatab.llm.rule_ensemble import fold
+from lumatab.operators.sampling import smallest
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3_000
@@ -134,17 +135,23 @@ class _Trainer:
     def __init__(self, texts: list[list[bytes]], dim: int, least: int, rate: float, buckets: int, seed: int) -> None:
         self.r, self.rate, self.dim, self.buckets = np.random.default_rng(seed), rate, dim, buckets
         names = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        self.docs = [np.fromiter(map(names.__getitem__, t), np.int64, len(t)) for t in texts]
-        bucket, who = grams_of(list(names), buckets) if names else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(who, kind="stable")
-        bucket, self.size = bucket[order], np.bincount(who, minlength=len(names))
+        self.docs = [np.fromiter(map(names.__getitem__, t), np.int32, len(t)) for t in texts]
+        words, parts, sizes = list(names), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 50_000):  # a chunk at a time: the driver's memory is small
+            found, who = grams_of(words[i : i + 50_000], buckets)
+            parts.append(found[np.argsort(who, kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(who))
+        bucket, self.size = np.concatenate(parts), np.concatenate(sizes)
+        del names, words, parts
         self.first = np.cumsum(self.size) - self.size
         in_texts = np.zeros(buckets, np.int64)
         for d in self.docs:
             in_texts[np.unique(bucket[self._grams(np.unique(d))[0]])] += 1
         # buckets found in fewer texts than that tell texts apart, not classes: they share slot 0, which stays 0
         self.used = np.concatenate([[-1], np.flatnonzero(in_texts >= least)])
-        self.slot = np.searchsorted(self.used, np.where(in_texts[bucket] >= least, bucket, -1))
+        place = np.zeros(buckets, np.int32)
+        place[self.used[1:]] = np.arange(1, len(self.used), dtype=np.int32)
+        self.slot = place[bucket]
         self.vec = self.r.normal(0, 0.05, (len(self.used), dim))
         self.vec[0] = 0
         self.soft, self.bias = self.r.normal(0, 0.5, (dim, 2)), np.zeros(2)
@@ -161,8 +168,13 @@ class _Trainer:
         return self.vec @ (self.soft[:, 1] - self.soft[:, 0])
 
     def word_logits(self) -> np.ndarray:
-        at, who = self._grams(np.arange(len(self.size)))
-        return np.bincount(who, self.weights()[self.slot[at]], len(self.size)) / self.size
+        weights = self.weights()
+        sums = [np.zeros(0)]
+        for i in range(0, len(self.size), 50_000):
+            words = np.arange(i, min(i + 50_000, len(self.size)))
+            at, who = self._grams(words)
+            sums.append(np.bincount(who, weights[self.slot[at]], len(words)))
+        return np.concatenate(sums) / self.size
 
     def step(self, parts: list[np.ndarray], y: np.ndarray) -> None:
         """One step on texts, or parts of texts, given as word numbers."""
@@ -234,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shares = usable.agg(F.avg("label")).first()[0]
     if shares is None:
         return SubwordModel(0.0, np.zeros(BUCKETS, np.float32))
-    picked = [usable.where(F.col("label") == v).orderBy(F.md5("key"), "key").limit(sample) for v in (0, 1)]
+    picked = [smallest(usable.where(F.col("label") == v), F.md5("key"), ["key"], sample) for v in (0, 1)]
     chosen, _ = shared.written(picked[0].unionByName(picked[1]), "toxic-sample")
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "key")  # at most 2 * `sample` short rows
 
