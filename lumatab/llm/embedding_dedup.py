@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lumatab.llm import shared
 from lumatab.llm.components import connected_components
+from lumatab.operators.sampling import smallest
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 16_384
@@ -162,8 +163,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n, dim = shape["n"], shape["dim"] or 1
     cells = max(1, min(max_cells, n // block))
     if n:
-        # a sample of bounded size; md5 orders it at random
-        fitted = classes.orderBy("cid").limit(sample).select("v").toArrow().column("v").combine_chunks()
+        fitted = smallest(classes, F.col("cid"), [], sample, n).select("v").toArrow().column("v").combine_chunks()
         centres = fit(unit(_matrix(fitted, dim)[0]), min(cells, len(fitted)))
     else:
         centres = np.eye(1, dim)

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from lumatab.llm import shared
 from lumatab.llm.quality_rules import SPACES, repeated_words
 from lumatab.llm.trees import boost
+from lumatab.operators.sampling import smallest
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -211,7 +212,7 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, folds: int,
     """(key, label) of at most `size` labelled ids outside the held-out fold, by md5 of the id: the same rows whatever the order."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col), folds) != held_out))
     key = F.col(id_col).cast("string")
-    return usable.select(key.alias("key"), F.col(label_col).cast("int").alias("label")).orderBy(F.md5("key"), "key", "label").limit(size)
+    return smallest(usable.select(key.alias("key"), F.col(label_col).cast("int").alias("label")), F.md5("key"), ["key", "label"], size)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> RuleModel:
