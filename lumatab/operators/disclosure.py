@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumatab.functions.coerce import number
+from lumatab.operators.quantiles import quantiles
 from lumatab.operators.sampling import smallest
 
 
@@ -104,8 +105,7 @@ def duplicate_report(original: DataFrame, derived: DataFrame, columns: list[str]
 
 def binned_keys(df: DataFrame, reference: DataFrame, categorical: list[str], numerical: list[str], bins: int = 10) -> DataFrame:
     """df with `_key`: categories and quantile bins of the reference, joined by two bars; missing values are __NA__."""
-    quantiles = [i / bins for i in range(bins + 1)]
-    edges = reference.agg(*(F.percentile(number(F.col(c), reference.schema[c].dataType), quantiles).alias(c) for c in numerical)).first() if numerical else {}
+    edges = quantiles(reference, {c: number(F.col(c), reference.schema[c].dataType) for c in numerical}, [i / bins for i in range(bins + 1)]) if numerical else {}
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for c in categorical]
     for c in numerical:  # `bins` + 1 numbers a column
         cuts = sorted(set(edges[c] or []))
@@ -247,9 +247,9 @@ def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: li
     is_number = lambda c: isinstance(derived.schema[c].dataType, T.NumericType)
     numeric = [c for c in columns if is_number(c)]
     both = original.select(*(number(F.col(c), original.schema[c].dataType).alias(c) for c in numeric)).unionByName(derived.select(*(number(F.col(c), derived.schema[c].dataType).alias(c) for c in numeric)))
-    mid = both.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in numeric)).first() if numeric else {}  # three numbers a column
-    mad = both.agg(*(F.median(F.abs(F.col(c) - (mid[c][1] if mid[c] else 0.0))).alias(c) for c in numeric)).first() if numeric else {}
-    scale = {c: max((mid[c][2] - mid[c][0]) / 1.349, 1.4826 * mad[c], abs(mid[c][1]) * 0.01, 1e-6) if mid[c] else 1.0 for c in numeric}
+    mid = quantiles(both, {c: F.col(c) for c in numeric}, [0.25, 0.5, 0.75]) if numeric else {}
+    mad = quantiles(both, {c: F.abs(F.col(c) - (mid[c][1] if mid[c] else 0.0)) for c in numeric}, [0.5]) if numeric else {}
+    scale = {c: max((mid[c][2] - mid[c][0]) / 1.349, 1.4826 * mad[c][0], abs(mid[c][1]) * 0.01, 1e-6) if mid[c] else 1.0 for c in numeric}
 
     def moved(c: str, attempt: int, start: float) -> Column:
         whole = isinstance(derived.schema[c].dataType, T.IntegralType)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumatab.functions.coerce import number
+from lumatab.operators.quantiles import quantiles
 from lumatab.operators.rules import num, uniform
 from lumatab.plans.model import Relationship
 
@@ -25,6 +25,15 @@ def laplace(key: Column, seed: int, salt: str, scale: Column | float) -> Column:
     return -F.lit(scale) * F.signum(u) * F.ln(1 - 2 * F.abs(u)) if not isinstance(scale, Column) else -scale * F.signum(u) * F.ln(1 - 2 * F.abs(u))
 
 
+def between(grid: list[float] | None, share: Column) -> Column:
+    """The value at a share of an even grid of quantiles, by linear interpolation."""
+    if grid is None:
+        return F.lit(None).cast("double")
+    steps, values = len(grid) - 1, F.array(*map(F.lit, grid))
+    low = F.least(F.floor(share * steps), F.lit(steps - 1)).cast("int")
+    return values[low] + (share * steps - low) * (values[low + 1] - values[low])
+
+
 def rule_column(spec: dict[str, Any], seed: int, salt: str) -> Column:
     """A column over `row_id` (from 0): choice, sequence, number_range, date_between, pattern or constant."""
     row, u = F.col("row_id"), uniform(F.col("row_id"), seed, salt)
@@ -119,7 +128,7 @@ def _numbered(df: DataFrame, order: list[str], seed: int, parts: int = 256) -> t
     return out.drop("_h", "_part", "_place", "_before"), df.count()
 
 
-def marginal_sample(df: DataFrame, rows: int, categorical: list[str], numerical: list[str], conditions: dict[str, Any] | None = None, seed: int = 42, steps: int = 1000) -> DataFrame:
+def marginal_sample(df: DataFrame, rows: int, categorical: list[str], numerical: list[str], conditions: dict[str, Any] | None = None, seed: int = 42, steps: int = 200) -> DataFrame:
     """Columns drawn one by one from their own distributions among rows that meet the conditions.
 
     Categories are drawn by cumulated shares through a range join on a table of values; numbers by linear
@@ -140,18 +149,12 @@ def marginal_sample(df: DataFrame, rows: int, categorical: list[str], numerical:
         drawn = drawn.withColumn("_slot", F.floor(F.col("_u") * slots)).join(spread, "_slot").where((F.col("_u") > F.col("_from")) & (F.col("_u") <= F.col("_to"))).select("row_id", c)
         out = out.join(drawn, "row_id", "left")
     if numerical:
-        grid = source.agg(*(F.percentile(num(source, c), [i / steps for i in range(steps + 1)]).alias(f"_q_{c}") for c in numerical))
-        out = out.join(F.broadcast(grid), how="cross")  # against one row
-        for c in numerical:
-            at = uniform(F.col("row_id"), seed, c) * steps
-            low = F.floor(at).cast("int")
-            a, b = F.get(f"_q_{c}", low), F.get(f"_q_{c}", F.least(low + 1, F.lit(steps)))
-            out = out.withColumn(c, a + (at - low) * (b - a))
-        out = out.drop(*(f"_q_{c}" for c in numerical))
+        grid = quantiles(source, {c: num(source, c) for c in numerical}, [i / steps for i in range(steps + 1)])
+        out = out.withColumns({c: between(grid[c], uniform(F.col("row_id"), seed, c)) for c in numerical})
     return out.withColumns({c: F.lit(v) for c, v in (conditions or {}).items()}) if conditions else out
 
 
-def copula_sample(df: DataFrame, rows: int, numerical: list[str], seed: int = 42, steps: int = 1000) -> DataFrame:
+def copula_sample(df: DataFrame, rows: int, numerical: list[str], seed: int = 42, steps: int = 200) -> DataFrame:
     """Numbers drawn together by a Gaussian copula: rank correlations from the table, margins from its quantiles."""
     from lumatab.operators.association import pearson, ranks
 
@@ -164,16 +167,11 @@ def copula_sample(df: DataFrame, rows: int, numerical: list[str], seed: int = 42
             s = m[i][j] - sum(low[i][q] * low[j][q] for q in range(j))
             low[i][j] = math.sqrt(max(s, 1e-9)) if i == j else s / low[j][j]
     out = df.sparkSession.range(rows).withColumnRenamed("id", "row_id").withColumns({f"_z{i}": normal(F.col("row_id"), seed, f"copula{i}") for i in range(k)})
-    grid = df.agg(*(F.percentile(num(df, c), [i / steps for i in range(steps + 1)]).alias(f"_q{i}") for i, c in enumerate(numerical)))
-    out = out.join(F.broadcast(grid), how="cross")  # against one row
+    grid = quantiles(df, {c: num(df, c) for c in numerical}, [i / steps for i in range(steps + 1)])
     for i, c in enumerate(numerical):
         z = reduce(lambda a, b: a + b, (low[i][j] * F.col(f"_z{j}") for j in range(i + 1)))
         # the normal distribution function by its logistic form, right to 2e-4
-        u = 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
-        at = u * steps
-        lo = F.floor(at).cast("int")
-        a, b = F.get(f"_q{i}", lo), F.get(f"_q{i}", F.least(lo + 1, F.lit(steps)))
-        out = out.withColumn(c, a + (at - lo) * (b - a))
+        out = out.withColumn(c, between(grid[c], 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))))
     return out.select("row_id", *numerical)
 
 
@@ -227,12 +225,13 @@ def laplace_noise(df: DataFrame, columns: list[str], key: str, epsilon: float =
     if epsilon <= 0:
         return df
     bounds = bounds or {}
-    one = df.agg(F.count("*").alias("n"), *(x for c in columns for x in (F.percentile(num(df, c), [0.25, 0.75]).alias(f"q_{c}"), F.max(num(df, c) % 1 != 0).alias(f"f_{c}")))).first()  # three numbers a column
+    one = df.agg(F.count("*").alias("n"), *(F.max(num(df, c) % 1 != 0).alias(f"f_{c}") for c in columns)).first()  # a flag a column
+    middle = quantiles(df, {c: num(df, c) for c in columns}, [0.25, 0.75])
     out = {}
     for c in columns:
-        if one[f"q_{c}"] is None:
+        if middle[c] is None:
             continue
-        width = bounds[c][1] - bounds[c][0] if c in bounds else one[f"q_{c}"][1] - one[f"q_{c}"][0]
+        width = bounds[c][1] - bounds[c][0] if c in bounds else middle[c][1] - middle[c][0]
         scale = max((width if width > 0 else 1.0) / math.sqrt(max(one["n"], 1)) / max(epsilon, 0.01), 1e-6)
         noisy = num(df, c) + laplace(F.col(key), seed, c, scale)
         out[c] = F.bround(noisy, 0).cast(df.schema[c].dataType) if not one[f"f_{c}"] else noisy
@@ -251,13 +250,13 @@ def accepted_sample(original: DataFrame, draw, rows: int, columns: list[str], ac
         blocked = (counts if policy == "strict" else counts.where("_n < 5")).select(*(F.col(c).alias(f"_b_{c}") for c in columns))
     got, have = None, 0
     for attempt in range(max_attempts):
-        batch = draw(rows - have, attempt)
+        batch = draw(2 * (rows - have) + 16, attempt)
         if accept is not None:
             batch = batch.where(accept)
         if blocked is not None:
             batch = batch.join(blocked, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in columns)), "left_anti")
         got = batch if got is None else got.unionByName(batch)
-        have = got.count()
+        have += batch.count()
         if have >= rows:
             return got.limit(rows)
     raise RuntimeError(f"{have} of {rows} rows after {max_attempts} attempts: the rules or the policy on copies leave too few")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumatab.functions.coerce import clipped, elapsed_months, half_even, lag_days, like_original, number, shifted_years, timestamp
+from lumatab.operators.quantiles import quantiles
 from lumatab.plans.model import Rule, RuleKind
 
 
@@ -166,8 +167,8 @@ def apply_rule(df: DataFrame, rule: Rule, reference: DataFrame | None = None, ke
                     out = out.withColumn(c, F.when(v == p["spike_value"], drawn).otherwise(v))
             return out
         source = reference if reference is not None else df
-        upper = source.agg(*(F.percentile(num(source, c), float(p["quantile"])).alias(c) for c in cols)).first()  # one number a column
-        return df.withColumns({c: clipped(num(df, c), None, upper[c]) for c in cols if upper[c] is not None})
+        upper = quantiles(source, {c: num(source, c) for c in cols}, [float(p["quantile"])])
+        return df.withColumns({c: clipped(num(df, c), None, upper[c][0]) for c in cols if upper[c] is not None})
     if kind == RuleKind.DATE_ORDER:
         a, b = moment(df, cols[0]), moment(df, cols[1])
         lag = sampled_lag(df, reference if reference is not None else df, cols[0], cols[1], key or cols[0], seed, p.get("min_days", 1), p.get("max_days"))
@@ -181,15 +182,15 @@ def lag_model(reference: DataFrame, start: str, end: str, steps: int = 200) -> t
     """(strategy, numbers): quantiles of positive lags in days if there are 30, else median and spread of their logarithms, else nothing."""
     lag = lag_days(moment(reference, start), moment(reference, end))
     lags = reference.select(lag.alias("d")).where("d > 0")
-    top = lags.agg(F.count("*").alias("n"), F.percentile("d", [i / steps for i in range(steps + 1)]).alias("q"), F.percentile("d", 0.995).alias("top"), F.median(F.ln("d")).alias("m")).first()
-    if top["n"] >= 30:
-        return "empirical", [min(q, top["top"]) for q in top["q"]]
-    if top["n"]:
-        spread = lags.agg(F.median(F.abs(F.ln("d") - top["m"])).alias("mad"), F.percentile(F.ln("d"), [0.25, 0.75]).alias("q")).first()
-        sigma = 1.4826 * spread["mad"]
+    if len(lags.limit(30).collect()) >= 30:
+        *grid, top = quantiles(lags, {"d": F.col("d")}, [*(i / steps for i in range(steps + 1)), 0.995])["d"]
+        return "empirical", [min(q, top) for q in grid]
+    few = lags.agg(F.count("*").alias("n"), F.median(F.ln("d")).alias("m"), F.percentile(F.ln("d"), [0.25, 0.75]).alias("q")).first()  # under 30 rows
+    if few["n"]:
+        sigma = 1.4826 * lags.agg(F.median(F.abs(F.ln("d") - few["m"]))).first()[0]
         if sigma <= 1e-8:
-            sigma = max((spread["q"][1] - spread["q"][0]) / 1.349, 0.05)
-        return "lognormal", [top["m"], sigma]
+            sigma = max((few["q"][1] - few["q"][0]) / 1.349, 0.05)
+        return "lognormal", [few["m"], sigma]
     return "uniform", []
 
 
@@ -425,8 +426,8 @@ def enforce_null_indicator(df: DataFrame, column: str, name: str, missing: str =
 def median_filled(df: DataFrame, columns: list[str], reference: DataFrame | None = None) -> DataFrame:
     """df with missing numbers at the reference's median, 0 if it has none."""
     source = reference if reference is not None else df
-    middle = source.agg(*(F.median(num(source, c)).alias(c) for c in columns)).first()  # one number a column
-    return df.withColumns({c: F.coalesce(num(df, c), F.lit(float(middle[c] or 0))) for c in columns})
+    middle = quantiles(source, {c: num(source, c) for c in columns}, [0.5])
+    return df.withColumns({c: F.coalesce(num(df, c), F.lit(middle[c][0] if middle[c] else 0.0)) for c in columns})
 
 
 def projected(df: DataFrame, specs: dict[str, dict[str, Any]]) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -331,7 +332,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The stream's windows, gathered by a query that reads the table as a stream and ends with it."""
     schema = table(spark, sf, "events").schema
-    name = "observed_" + os.path.basename(sf.rstrip("/")).replace(".", "_").replace("-", "_")
+    name = f"observed_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", sf).parquet(f"{sf}/events.parquet*")
     run = windowed_observations(stream, "ts", "event_type", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
