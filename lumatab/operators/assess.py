@@ -119,6 +119,20 @@ def leaderboard(original: DataFrame, candidates: dict[str, DataFrame | None], pl
     return out.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "candidate")).alias("place"), "*")  # a row a candidate
 
 
+def attention(path_statistics: DataFrame) -> DataFrame:
+    """(path, note, share) of JSON paths a person should look at: missing values, names of derived fields, names of quality flags. Nothing is corrected or invented."""
+    gone = F.col("nulls") + F.col("empties") + F.coalesce("missing", F.lit(0))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    notes = F.array_compact(
+        F.array(
+            F.when(gone > 0, F.struct(F.lit("missing").alias("note"), F.round(gone / (F.col("occurrences") + F.coalesce("missing", F.lit(0))), 6).alias("share"))),
+            F.when(name.rlike("avg|mean|sum|total|ratio|rate|평균|합계|비율|율$") & (F.col("scalars") > 0), F.struct(F.lit("may_be_derived").alias("note"), F.lit(None).cast("double").alias("share"))),
+            F.when(name.rlike("flag|status|quality|valid|qc|상태|품질|여부") & (F.col("scalars") > 0), F.struct(F.lit("may_be_flag").alias("note"), F.lit(None).cast("double").alias("share"))),
+        )
+    )
+    return path_statistics.select("path", F.explode(notes).alias("n")).select("path", "n.note", "n.share")
+
+
 def metric_delta(before: DataFrame, after: DataFrame, targets: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """(metric, before, after, delta, met) of two (metric, value) tables; a target is ("at_least" | "at_most" | "reduction", number)."""
     both = before.select("metric", F.col("value").alias("before")).join(after.select("metric", F.col("value").alias("after")), "metric", "full_outer")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lumatab.operators.quantiles import quantiles
 from lumatab.operators.rules import num, uniform
-from lumatab.plans.model import Relationship
+from lumatab.plans.model import ColumnPlan, Relationship
 
 
 def normal(key: Column, seed: int, salt: str) -> Column:
@@ -308,3 +308,40 @@ def repeated_output(made: DataFrame, source: DataFrame, columns: list[str], made
     right = numbered.select(F.col("_n"), *(F.col(c).alias(f"_s_{c}") for c in columns))
     joined = made.drop(*columns).withColumn("_at", F.col(made_key) % max(n, 1)).join(right, F.col("_at") == F.col("_n"), "left")
     return joined.select(*(c for c in made.columns if c not in columns), *(F.col(f"_s_{c}").alias(c) for c in columns))
+
+
+#: Generators by name: (table, rows, plan, seed) -> DataFrame. `register` adds others.
+GENERATORS: dict[str, Any] = {}
+
+
+def register(name: str):
+    def add(f):
+        if name in GENERATORS:
+            raise ValueError(f"{name} is taken")
+        GENERATORS[name] = f
+        return f
+
+    return add
+
+
+@register("statistical")
+def _statistical(df: DataFrame, rows: int, plan: ColumnPlan, seed: int = 42) -> DataFrame:
+    return marginal_sample(df, rows, list(plan.categorical), list(plan.numerical), seed=seed)
+
+
+@register("gaussian_copula")
+def _gaussian_copula(df: DataFrame, rows: int, plan: ColumnPlan, seed: int = 42) -> DataFrame:
+    """Numbers together by the copula, categories by their own shares."""
+    made = copula_sample(df, rows, list(plan.numerical), seed)
+    return made.join(marginal_sample(df, rows, list(plan.categorical), [], seed=seed), "row_id") if plan.categorical else made
+
+
+@register("bootstrap")
+def _bootstrap(df: DataFrame, rows: int, plan: ColumnPlan, seed: int = 42) -> DataFrame:
+    return bootstrap(df, rows, [*plan.categorical, *plan.numerical], seed).select("row_id", *plan.categorical, *plan.numerical)
+
+
+def generate(name: str, df: DataFrame, rows: int, plan: ColumnPlan, seed: int = 42) -> DataFrame:
+    if name not in GENERATORS:
+        raise ValueError(f"unknown generator {name}; known: {', '.join(sorted(GENERATORS))}")
+    return GENERATORS[name](df, rows, plan, seed)

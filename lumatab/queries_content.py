@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumatab.functions import masking, text_quality
 from lumatab.operators import disclosure, generate, personal_data, survey
 from lumatab.plans.model import ColumnPlan, Relationship
-from lumatab.queries import query, rounded, table, union
+from lumatab.queries import SQL, query, rounded, table, union
 from lumatab.sources import json_paths, writers
 from lumatab.streaming.observe import windowed_observations
 
@@ -95,9 +95,21 @@ def _(spark, sf):
 _SECRET = b"example queries"
 
 
-@query("keyed_token")
+def _blob(data: bytes) -> str:
+    return "'" + "".join(f"\\x{b:02X}" for b in data) + "'::BLOB"
+
+
+def _token_sql(column: str, scope: bytes) -> str:
+    inner, outer = (bytes(b ^ x for b in _SECRET.ljust(64, b"\0")) for x in (0x36, 0x5C))
+    return f"upper(substr(sha256({_blob(outer)} || unhex(sha256({_blob(inner + scope)} || encode(trim({column}))))), 1, 20))"
+
+
+_SCOPE = b"v1\x1fdemo\x1fc_name\x1f"
+
+
+@query("keyed_token", f"SELECT c_custkey, 'CNAM-' || {_token_sql('c_name', _SCOPE)} AS token FROM customer")
 def _(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", masking.token(F.col("c_name"), os.environ.get("LUMATAB_TOKEN_SECRET", "").encode() or _SECRET, "demo", "c_name").alias("token"))
+    return table(spark, sf, "customer").select("c_custkey", masking.token(F.col("c_name"), _SECRET, "demo", "c_name").alias("token"))
 
 
 # --- text -----------------------------------------------------------------------------------------------------
@@ -171,7 +183,7 @@ def _(spark, sf):
     return json_paths.path_statistics(table(spark, sf, "events"), "props")
 
 
-@query("json_completeness")
+@query("json_completeness", f"SELECT sum(scalars)::BIGINT AS cells, sum(nulls + empties)::BIGINT AS missing, round(100 * (sum(scalars) - sum(nulls + empties)) / sum(scalars), 2) AS score FROM ({SQL['json_path_stats']}) WHERE scalars > 0")
 def _(spark, sf):
     return json_paths.leaf_completeness(json_paths.path_statistics(table(spark, sf, "events"), "props"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lumatab.functions import masking, text_rules
 from lumatab.operators import assess, disclosure, generate, shape
 from lumatab.plans.model import ColumnPlan, Relationship
-from lumatab.queries import CAT, NUM, SQL, halves, query, rounded, table
+from lumatab.queries import CAT, NUM, SQL, _v_sql, halves, query, rounded, table
+from lumatab.sources import documents, json_paths
 
 PLAN = ColumnPlan(tuple(CAT), tuple(NUM))
 
@@ -25,14 +26,24 @@ def _(spark, sf):
     return rounded(assess.metric_means(assess.distribution_metrics(*halves(spark, sf), PLAN)), 4)
 
 
-@query("composite_score")
+_PAIR = " WHERE l_linestatus = "
+_ASSOC = f"SELECT 1 - avg(abs(a.v - b.v)) AS score FROM ({_v_sql('SELECT * FROM lineitem' + _PAIR + chr(39) + 'F' + chr(39), CAT)}) AS a JOIN ({_v_sql('SELECT * FROM lineitem' + _PAIR + chr(39) + 'O' + chr(39), CAT)}) AS b USING (pair)"
+_QUALITY = f"""WITH m AS ({_METRICS}), q AS (SELECT avg(value) FILTER (metric = 'jsd') AS jsd, avg(value) FILTER (metric = 'similarity') AS similarity, ((SELECT score FROM ({SQL['pearson_score']})) + ({_ASSOC})) / 2 AS correlation FROM m)
+SELECT *, 0.4 * (1 - jsd) + 0.3 * similarity + 0.3 * correlation AS composite FROM q"""
+
+
+@query("composite_score", f"SELECT round(jsd, 3) AS jsd, round(similarity, 3) AS similarity, round(correlation, 3) AS correlation, round(composite, 3) AS composite, CASE WHEN composite >= 0.8 THEN 'PASS' WHEN composite >= 0.6 THEN 'REVIEW' ELSE 'FAIL' END AS status FROM ({_QUALITY})")
 def _(spark, sf):
-    return rounded(assess.quality(*halves(spark, sf), PLAN))
+    return rounded(assess.quality(*halves(spark, sf), PLAN), 3)
 
 
-@query("statistical_fidelity")
+@query(
+    "statistical_fidelity",
+    f"""WITH u AS (SELECT avg(s) AS u FROM (SELECT 100 * (1 - ks) AS s FROM ({SQL['wasserstein_ks']}) UNION ALL SELECT 100 * tvd_fidelity FROM ({SQL['chi2_fit']}))), c AS (SELECT 100 * fidelity AS c FROM ({SQL['frobenius_fidelity']}))
+    SELECT round(u, 2) AS univariate, round(c, 2) AS correlation, round(0.6 * u + 0.4 * c, 2) AS overall, CASE WHEN 0.6 * u + 0.4 * c >= 85 THEN 'EXCELLENT' WHEN 0.6 * u + 0.4 * c >= 70 THEN 'GOOD' ELSE 'FAIR' END AS verdict FROM u, c""",
+)
 def _(spark, sf):
-    return rounded(assess.statistical_fidelity(*halves(spark, sf), PLAN))
+    return rounded(assess.statistical_fidelity(*halves(spark, sf), PLAN), 2)
 
 
 @query("evaluate")
@@ -82,6 +93,16 @@ def _(spark, sf):
     return shape.search_terms(terms, "A", initial="A-Z").select("p_partkey", "name")
 
 
+@query("json_attention", f"SELECT path, 'may_be_derived' AS note, NULL::DOUBLE AS share FROM ({SQL['json_path_stats']}) WHERE regexp_matches(lower(path), '(avg|mean|sum|total|ratio|rate)') AND scalars > 0")
+def _(spark, sf):
+    return assess.attention(json_paths.path_statistics(table(spark, sf, "events"), "props"))
+
+
+@query("embedded_records")
+def _(spark, sf):
+    return documents.embedded_cells(table(spark, sf, "pages"), "page_id", "html")
+
+
 @query("mask_with_whitelist")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(masking.inline_except(F.col("text"), ["example.com", "license"])).alias("masked"))

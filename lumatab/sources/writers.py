@@ -146,3 +146,22 @@ def checksum(df: DataFrame) -> DataFrame:
     cells = [F.coalesce(F.concat(F.length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
     part = F.conv(F.substring(F.sha2(F.concat_ws("|", *cells), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("checksum"))
+
+
+def write_table(df: DataFrame, path: str, kind: str) -> None:
+    """A table as csv, tsv, jsonl, json, parquet, xml or sql, one part file a task. CSV is UTF-8 without a byte-order mark; json parts are lines."""
+    from lumatab.sources.readers import flat
+
+    out = df.write.mode("errorifexists")
+    if kind in ("csv", "tsv"):
+        flat(df).write.mode("errorifexists").option("header", True).option("sep", "," if kind == "csv" else "\t").option("escape", '"').csv(path)
+    elif kind in ("json", "jsonl"):
+        out.option("ignoreNullFields", False).json(path)
+    elif kind == "parquet":
+        out.parquet(path)
+    elif kind == "xml":
+        xml_records(flat(df)).write.mode("errorifexists").text(path)
+    elif kind == "sql":
+        df.select(F.concat(F.lit("INSERT INTO `converted_data` VALUES "), insert_rows(df), F.lit(";")).alias("line")).write.mode("errorifexists").text(path)
+    else:
+        raise ValueError(f"no writer for {kind}")
