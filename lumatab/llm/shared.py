@@ -41,3 +41,8 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes every table and file that these operators have left under the shared folder; results not read yet are lost."""
+    drop(spark, f"{root(spark)}/lumatab")

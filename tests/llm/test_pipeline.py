@@ -73,3 +73,12 @@ def test_registered_names():
     assert [q for q in queries.QUERIES] == sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) and len(queries.QUERIES) == 10
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "simhash near-dedup", "mixing", "bpe encoding"]
+
+
+def test_clean(spark):
+    from lumatab.llm import shared
+
+    _, path = shared.written(spark.range(3), "x")
+    shared.clean(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
