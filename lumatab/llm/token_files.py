@@ -11,7 +11,8 @@ n_blocks u64, ones before each block u64, end of each block in the plane's bytes
 
 Ids come from the vocabulary of a byte-level BPE file of the tokenizers library. The merges run in
 tiktoken, which gives the same ids from the same vocabulary about four times as fast; tests hold the two
-equal, and special tokens in a text become their ids, as they do in the library by default.
+equal, and special tokens in a text become their ids, as they do in the library by default. A text that
+tiktoken refuses (it gives up on runs of about a million white-space characters) is encoded by the library.
 
 Defined cases: a null or empty text has only the end id; a null id sorts first; rows with equal ids are
 ordered by text; an empty table gives no files and no rows; other columns are not read.
@@ -48,6 +49,14 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@cache
+def library(path: str):
+    """The tokenizers library's own encoder of a file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def encoder(path: str):
     """A function from a text to its ids (uint32), for a byte-level BPE file of the tokenizers library."""
@@ -68,7 +77,10 @@ def encoder(path: str):
     allowed = set(special)
 
     def ids(text: str) -> np.ndarray:
-        return core.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        try:
+            return core.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:  # its splitter keeps a stack of bounded size for a run of white space
+            return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 

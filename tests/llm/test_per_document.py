@@ -192,6 +192,15 @@ def test_token_files(spark, tmp_path, shard_ids):
     assert len(whole) == at
 
 
+def test_token_files_of_long_white_space(spark, tmp_path):
+    uri = f"file://{tmp_path}/wide"
+    texts = {1: " " * 2_000_000, 2: "a <|endoftext|>" + "\n" * 1_200_000 + "b", 3: "short"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = token_files.read_shards(token_files.write_shards(df, uri, public_tokenizers.path("byte_bpe_50k.json")), uri).collect()
+    want = {i: [*ids_by_library("byte_bpe_50k.json", t)[0], 0] for i, t in texts.items()}
+    assert {(g.doc_id, g.n_tokens, g.ids_crc32) for g in got} == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     uri = f"file://{tmp_path}/none"
     manifest = token_files.write_shards(hard(spark).limit(0), uri, public_tokenizers.path("byte_bpe_50k.json"))
