@@ -15,7 +15,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is none of the page's.
 SILENT = frozenset("noscript svg math template select button object canvas audio video map".split())
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 #: Opening one of these ends an open element of the second set, up to a border.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "option": {"option"}}
 _BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -27,7 +27,26 @@ _TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)"
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_MAYBE_HIDDEN = re.compile("hidden|style", re.I)
+#: One attribute after the other, so that nothing within a value is taken for a name.
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]++)))?+")
+_NAMES = frozenset(("class", "id", "role", "itemprop"))
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes of a start tag; of repeated ones the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(rest):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def hidden(found: dict[str, str]) -> bool:
+    """Whether an element with these attributes is not shown: by hidden, aria-hidden, or the display that its style ends with."""
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    said = _DISPLAY.findall(_html.unescape(found.get("style", "")))
+    return bool(said) and ([v for v, strong in said if strong] or [v for v, _ in said])[-1].lower() == "none"
 
 
 @dataclass
@@ -119,6 +138,7 @@ def read(source: str | None) -> Page:
                 if stack[depth][0] in _ENDS[name]:
                     pop(depth)
                     break
+        found = attributes(rest) if rest and (name in BLOCK or _MAYBE_HIDDEN.search(rest)) else {}
         if name in BLOCK:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in _P_BORDER:
@@ -129,10 +149,9 @@ def read(source: str | None) -> Page:
             flush()
             if name == "hr":
                 continue
-            found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(rest)} if rest else {}
             page.tag.append(name)
             page.parent.append(stack[-1][1])
-            page.names.append(" ".join(v for k, v in found.items() if k != "data-y"))
+            page.names.append(" ".join(v for k, v in found.items() if k in _NAMES))
             page.mark.append(found.get("data-y", ""))
             page.tags.append(0)
             page.links.append(0)
@@ -144,7 +163,7 @@ def read(source: str | None) -> Page:
             stack.append((name, stack[-1][1]))
             if name == "a":
                 anchors += 1
-        if name in SILENT or rest and ("hidden" in rest or "none" in rest) and _HIDDEN.search(rest):
+        if name in SILENT or found and hidden(found):
             silent.append(len(stack) - 1)
     flush()
     return page

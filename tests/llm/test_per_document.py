@@ -320,6 +320,20 @@ def test_html(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "attribute, shown",
+    [
+        ('title="our hidden gem"', True), ("data-title='The hidden valley'", True), ('class="x hidden y"', True), ('data-css="display:none"', True), ('title="aria-hidden=true"', True), ('aria-hidden="false"', True),
+        ('style="display:none-x"', True), ('style="display:none;display:block"', True), ('data-x=">" title="a > hidden b"', True), ("data-hidden", True),
+        ("hidden", False), ("HIDDEN=''", False), ('title="a"hidden', False), ("aria-hidden=true", False), ('style="color:red; Display : none !important; display:block"', False), ("style=display:none", False),
+    ],
+)
+def test_only_hidden_elements_are_silent(attribute, shown):
+    for page in (PAGE.replace("<article>", f"<article {attribute}>"), PAGE.replace("<article>", f"<article><a {attribute}>").replace("</article>", "</a></article>")):
+        assert [t for _, t in read(page).blocks if t in TEXT.split("\n\n")] == (TEXT.split("\n\n") if shown else [])
+    assert not shown or html_text.extract([PAGE.replace("<article>", f"<article {attribute}>")], html_text.model()) == [TEXT]
+
+
 def test_html_on_unseen_layouts():
     maker, trees_ = html_text._Maker(987), html_text.model()
     exact = 0
