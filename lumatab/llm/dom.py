@@ -62,6 +62,24 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def _embody(page: Page) -> None:
+    """Moves text directly under the page into its body, as browsers do: the page's own, else its html element, else an implied node."""
+    if all(node for node, _ in page.blocks):
+        return
+    top = [i for i in range(1, len(page.tag)) if page.parent[i] == 0 or page.tag[page.parent[i]] == "html"]
+    body = next((i for name in ("body", "html") for i in top if page.tag[i] == name), 0)
+    if not body:
+        body = 1
+        page.parent[1:] = [0, *(p + 1 if p else 1 for p in page.parent[1:])]
+        page.blocks = [(node + 1 if node else 0, text) for node, text in page.blocks]
+        for values, value in ((page.tag, "body"), (page.names, ""), (page.mark, ""), (page.tags, 0), (page.links, 0)):
+            values.insert(1, value)
+    page.blocks = [(node or body, text) for node, text in page.blocks]
+    for counts in (page.tags, page.links):
+        counts[body] += counts[0]
+        counts[0] = 0
+
+
 def read(source: str | None) -> Page:
     page = Page()
     text = source or ""
@@ -166,4 +184,5 @@ def read(source: str | None) -> Page:
         if name in SILENT or found and hidden(found):
             silent.append(len(stack) - 1)
     flush()
+    _embody(page)
     return page

@@ -10,7 +10,8 @@ No labelled pages exist, so the trees are trained on pages from a seeded generat
 names, missing and unclosed tags are drawn at random, the words are random syllables. The model depends on
 nothing in the input; it is trained once a session and sent to the executors (some 100 KB).
 
-Defined cases: a null or empty page, or one without main text, has the empty text; pages of any length and
+Defined cases: a null or empty page, or one without main text, has the empty text; text directly under the page
+belongs to its body, implied where there is none, and is chosen with it; pages of any length and
 nesting are read in one pass without recursion; repeated rows are read one by one; an empty table gives no
 rows; other columns are not read.
 """

@@ -334,6 +334,18 @@ def test_only_hidden_elements_are_silent(attribute, shown):
     assert not shown or html_text.extract([PAGE.replace("<article>", f"<article {attribute}>")], html_text.model()) == [TEXT]
 
 
+def test_html_without_body():
+    text = "A first sentence with quite a few words in it, so that it counts. And a second one follows here, as long as the first."
+    nav = '<nav class="menu"><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav>'
+    pages = {"plain < text & more": "plain < text & more", text: text, f"<!DOCTYPE html><title>no</title><b>{text}</b><br>{text}": f"{text} {text}", f"{nav}{text}<footer>&copy; 2024 us. All rights reserved.</footer>": text}
+    assert html_text.extract([*pages], html_text.model()) == [*pages.values()]
+    # the implied body is like a written one; without loose text nothing is implied
+    for page in (*pages, "<div><p>a</p></div>b<a href=x>c</a><p>d</p><i>e</i>"):
+        assert read(page) == read(f"<body>{page}</body>")
+    assert read("<div>a</div>").tag == ["#page", "div"]
+    assert read("<html><body><p>a</p></body></html> b").blocks == [(3, "a"), (2, "b")]
+
+
 def test_html_on_unseen_layouts():
     maker, trees_ = html_text._Maker(987), html_text.model()
     exact = 0
