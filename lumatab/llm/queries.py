@@ -26,7 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_table.place(shared.table(spark, sf_dir, "documents").select("doc_id"), shard_table.SHARDS)
+    path = shared.folder(spark, "placed")
+    placed = shard_table.place(shared.table(spark, sf_dir, "documents"), shard_table.SHARDS)
+    shard_table.write_placed(placed, path)
+    return shard_table.read_placed(spark, path, placed.schema).select("doc_id", "slot", "shard")
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest table that is broadcast: 4 MB, whatever the data.
 MAX_SLOTS = 1 << 20
@@ -73,6 +74,11 @@ def write_placed(placed: DataFrame, path: str, shard_col: str = "shard", rows_pe
     placed.write.option("maxRecordsPerFile", rows_per_file).partitionBy(shard_col).parquet(path)
 
 
+def read_placed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all shards, from the files alone; an empty table has none."""
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 

@@ -303,6 +303,29 @@ def test_shard_table(spark):
             bad()
 
 
+def test_placed_rows_are_written_whole(spark, tmp_path):
+    docs = hard(spark).unionByName(spark.createDataFrame([(i % 3, "long " * 20_000, "en", "hot", 1) for i in range(30)], SCHEMA)).repartition(4)
+    names = [f"n{i}" for i in range(7)]
+    placed = shard_table.place(docs, names, slots=101)
+    shard_table.write_placed(placed, f"{tmp_path}/some", rows_per_file=5)
+    assert rows(shard_table.read_placed(spark, f"{tmp_path}/some", placed.schema)) == rows(placed)
+    for folder in (tmp_path / "some").glob("shard=*"):
+        assert {r.shard for r in placed.where(F.col("shard") == folder.name[6:]).select("shard").collect()} == {folder.name[6:]}
+    shard_table.write_placed(placed.limit(0), f"{tmp_path}/none")
+    assert shard_table.read_placed(spark, f"{tmp_path}/none", placed.schema).count() == 0
+
+
+def test_shard_query_writes_the_table(spark, tmp_path):
+    from lumatab.llm import queries
+
+    hard(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_shard_table(spark, str(tmp_path))
+    files = got.inputFiles()
+    assert rows(got) == rows(shard_table.place(hard(spark), shard_table.SHARDS).select("doc_id", "slot", "shard"))
+    assert files and all("/lumatab/placed-" in f and "/shard=shard-" in f for f in files)
+    assert rows(spark.read.parquet(*files).select("doc_id", "text")) == rows(hard(spark).select("doc_id", "text"))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var x="<p>no</p>";</script></head><body>
 <nav class="menu"><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav><div class="ad">Buy this now. It is good.</div>
 <article><h1>The &quot;title&quot; of it</h1><p>First   paragraph with <b>bold</b> and&nbsp;more words in it, to be long enough.<br>Second line of it.
