@@ -41,7 +41,7 @@ def brute(rows, threshold):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("seed, n, dim, settings", [(1, 300, 8, {}), (2, 300, 3, {"block": 16, "sample": 64, "visitors": 40}), (3, 200, 16, {"block": 7, "max_cells": 9}), (4, 150, 2, {"threshold": 0.5, "block": 10})])
+@pytest.mark.parametrize("seed, n, dim, settings", [(1, 300, 8, {}), (2, 300, 3, {"blocks": 9, "sample": 64, "products": 1500}), (3, 200, 16, {"block_bytes": 16 * 16 * 7, "max_cells": 9}), (4, 150, 2, {"threshold": 0.5, "blocks": 4, "products": 2000}), (5, 240, 5, {"blocks": 1}), (6, 200, 4, {"threshold": -1.0})])
 def test_all_pairs(spark, seed, n, dim, settings):
     rows = list(enumerate(vectors(seed, n, dim)))
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), **settings)
@@ -61,7 +61,7 @@ def test_hard_rows(spark):
 def test_large_group_of_copies(spark):
     r = random.Random(0)
     rows = [(i, [1.0, 0.0, 0.1 * (i % 3 == 0)]) for i in range(400)] + [(1000 + i, [r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 1)]) for i in range(40)]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=32)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), blocks=12)
     assert got.where("vec_id < 1000 AND (n_links < 399 OR component_id <> 0)").count() == 0
     assert sorted(map(repr, map(tuple, got.collect()))) == brute(rows, 0.9)
 
@@ -77,3 +77,21 @@ def test_margin_bound():
         reach = np.sqrt(2 - 2 * t) + 1e-9
         a, b = np.nonzero(x @ x.T >= t)
         assert (far[a, cell[b]][cell[a] != cell[b]] <= reach).all()
+
+
+def test_each_pair_of_blocks_meets_once():
+    for g in range(1, 9):
+        p = embedding_dedup.Plan(np.eye(g), np.ones(g, np.int64))
+        p.pack(1)
+        visits = p.visited(np.arange(g))
+        assert (visits.astype(int) + visits.T == 1 - np.eye(g)).all()
+        assert g % 2 == 0 or len(set(visits.sum(axis=1))) == 1
+
+
+def test_lengths_mix(spark):
+    """Vectors of several lengths in one table, near copies at a third of the rows."""
+    rows = [(i, v) for i, v in enumerate(vectors(7, 90, 3) + vectors(8, 90, 5) + vectors(9, 3, 2))]
+    rows += [(1000 + i, [1.0, 0.2, 0.001 * i]) for i in range(90)]
+    for settings in ({}, {"blocks": 4, "products": 3000}, {"block_bytes": 16 * 3 * 8}):
+        got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), **settings)
+        assert sorted(map(repr, map(tuple, got.collect()))) == brute(rows, 0.9)
