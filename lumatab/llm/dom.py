@@ -13,13 +13,16 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Everything up to the end tag is no markup and no text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements whose text is none of the page's.
-SILENT = frozenset("noscript svg math template select button object canvas audio video map".split())
+#: Elements whose text is never shown as the page's: choices of forms, and templates.
+SILENT = frozenset("template select datalist".split())
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 #: Opening one of these ends an open element of the second set, up to a border.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "option": {"option"}}
 _BORDER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _P_BORDER = frozenset("table td th caption button object template html body".split())
+_CELLS = frozenset(("table", "td", "th"))
+#: End tags that reach past a cell or table, besides those of blocks.
+_TABLE_PARTS = frozenset("table tr tbody thead tfoot body html".split())
 
 _TOKEN = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -80,12 +83,45 @@ def _embody(page: Page) -> None:
         counts[0] = 0
 
 
+class _Open:
+    """Open elements. Of each name, and of each kind of border, the depths are at hand, so no tag looks through the elements above it."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("#page", 0)]
+        self.at: dict[str, list[int]] = {}
+        self.cells: list[int] = []
+        self.paragraph_ends: list[int] = []
+        self.silent: list[int] = []
+
+    def push(self, name: str, node: int) -> None:
+        depth = len(self.stack)
+        self.stack.append((name, node))
+        self.at.setdefault(name, []).append(depth)
+        if name in _CELLS:
+            self.cells.append(depth)
+        if name in _P_BORDER:
+            self.paragraph_ends.append(depth)
+
+    def last(self, names) -> int:
+        """The depth of the innermost open element of one of these names, or 0."""
+        return max((depths[-1] for name in names if (depths := self.at.get(name))), default=0)
+
+    def pop(self, depth: int) -> None:
+        """Closes all elements from that depth on."""
+        for name, _ in self.stack[depth:]:
+            self.at[name].pop()
+        del self.stack[depth:]
+        for depths in (self.cells, self.paragraph_ends, self.silent):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+
+
 def read(source: str | None) -> Page:
+    """The page, in time proportional to its length."""
     page = Page()
     text = source or ""
-    stack: list[tuple[str, int]] = [("#page", 0)]
-    silent: list[int] = []  # depths of open silent elements
-    anchors = 0
+    opened = _Open()
+    stack, silent = opened.stack, opened.silent
     parts: list[str] = []
     at = 0
 
@@ -102,20 +138,13 @@ def read(source: str | None) -> Page:
         if "&" in piece:
             piece = _html.unescape(piece)
         parts.append(piece)
-        if anchors:
+        if opened.at.get("a"):
             page.links[stack[-1][1]] += len(piece.strip())
 
-    def pop(depth: int) -> None:
-        """Closes all elements from that depth on."""
-        nonlocal anchors
-        for name, _ in stack[depth:]:
-            if name == "a":
-                anchors -= 1
+    def close(depth: int) -> None:
         if any(name in BLOCK for name, _ in stack[depth:]):
-            flush()
-        del stack[depth:]
-        while silent and silent[-1] >= depth:
-            silent.pop()
+            flush()  # while its node is open
+        opened.pop(depth)
 
     while at < len(text):
         m = _TOKEN.search(text, at)
@@ -129,12 +158,9 @@ def read(source: str | None) -> Page:
             if name == "br":
                 parts.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    pop(depth)
-                    break
-                if stack[depth][0] in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") and name not in BLOCK:
-                    break
+            depth = opened.last((name,))
+            if depth and (name in BLOCK or name in _TABLE_PARTS or not opened.cells or depth >= opened.cells[-1]):
+                close(depth)
             continue
         name = (m[2] or m[4] or "").lower()
         if not name:
@@ -150,20 +176,14 @@ def read(source: str | None) -> Page:
             page.tags[stack[-1][1]] += 1
             continue
         if name in _ENDS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in _BORDER[name]:
-                    break
-                if stack[depth][0] in _ENDS[name]:
-                    pop(depth)
-                    break
+            depth = opened.last(_ENDS[name])
+            if depth > opened.last(_BORDER[name]):
+                close(depth)
         found = attributes(rest) if rest and (name in BLOCK or _MAYBE_HIDDEN.search(rest)) else {}
         if name in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in _P_BORDER:
-                    break
-                if stack[depth][0] == "p":
-                    pop(depth)
-                    break
+            depth = opened.last(("p",))
+            if depth and (not opened.paragraph_ends or depth > opened.paragraph_ends[-1]):
+                close(depth)
             flush()
             if name == "hr":
                 continue
@@ -173,14 +193,12 @@ def read(source: str | None) -> Page:
             page.mark.append(found.get("data-y", ""))
             page.tags.append(0)
             page.links.append(0)
-            stack.append((name, len(page.tag) - 1))
+            opened.push(name, len(page.tag) - 1)
         else:
             page.tags[stack[-1][1]] += 1
             if rest and rest.endswith("/") and name not in ("a", "b", "i", "span", "em", "strong"):
                 continue
-            stack.append((name, stack[-1][1]))
-            if name == "a":
-                anchors += 1
+            opened.push(name, stack[-1][1])
         if name in SILENT or found and hidden(found):
             silent.append(len(stack) - 1)
     flush()

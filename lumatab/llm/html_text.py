@@ -12,7 +12,9 @@ nothing in the input; it is trained once a session and sent to the executors (so
 
 Defined cases: a null or empty page, or one without main text, has the empty text; text directly under the page
 belongs to its body, implied where there is none, and is chosen with it; pages of any length and
-nesting are read in one pass without recursion; repeated rows are read one by one; an empty table gives no
+nesting are read in one pass without recursion, in time proportional to their length; only text that is never shown
+as the page's is silent before the trees see it (scripts, styles, titles, text areas and choices of forms, templates, frames,
+hidden elements); repeated rows are read one by one; an empty table gives no
 rows; other columns are not read.
 """
 
@@ -120,9 +122,12 @@ def features(page: Page) -> np.ndarray:
         items[p] += items[i] + (page.tag[i] == "li")
         if first_text[i] is not None and (begin[p] < 0 or begin[i] < begin[p]):
             begin[p], first_text[p] = begin[i], first_text[i]
+    known = {-1: -1}  # of each text that a node begins with, by where it begins
     for i in range(n):
-        m = _OPENINGS.match(first_text[i]) if first_text[i] else None
-        opened[i] = -1 if m is None else next((j for j, k in enumerate(("comment", "related", "share", "form", "notice", "advert", "foot")) if m[k]), 6)
+        if begin[i] not in known:
+            m = _OPENINGS.match(first_text[i])
+            known[begin[i]] = -1 if m is None else next((j for j, k in enumerate(("comment", "related", "share", "form", "notice", "advert", "foot")) if m[k]), 6)
+        opened[i] = known[begin[i]]
     par = np.array(parent)
     par[0] = 0
     f = lambda x: np.array(x, np.float64)
@@ -347,14 +352,20 @@ def model(pages: int = 2000, seed: int = 11) -> Boosted:
     return boost(np.concatenate(xs), np.concatenate(ys), rounds=70, depth=5, rate=0.25, least=8, subsample=0.6, columns=0.5, weight=np.concatenate(ws), seed=seed)
 
 
-def extract(pages: list[str | None], trees: Boosted) -> list[str]:
-    """Main texts of some pages, all nodes scored together."""
-    read_pages = [read(p) for p in pages]
-    if not read_pages:
-        return []
-    odds = trees.logit(np.concatenate([features(p) for p in read_pages]))
-    ends = np.cumsum([len(p.tag) for p in read_pages])
-    return [main_text(p, odds[e - len(p.tag) : e]) for p, e in zip(read_pages, ends, strict=True)]
+def extract(pages: list[str | None], trees: Boosted, nodes: int = 50_000) -> list[str]:
+    """Main texts of some pages; those of about `nodes` nodes together are scored at once."""
+    out: list[str] = []
+    held: list[Page] = []
+    size = 0
+    for k, source in enumerate(pages, 1):
+        held.append(read(source))
+        size += len(held[-1].tag)
+        if size >= nodes or k == len(pages):
+            odds = trees.logit(np.concatenate([features(p) for p in held]) if len(held) > 1 else features(held[0]))
+            ends = np.cumsum([len(p.tag) for p in held])
+            out += [main_text(p, odds[e - len(p.tag) : e]) for p, e in zip(held, ends, strict=True)]
+            held, size = [], 0
+    return out
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trees: Boosted | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -369,6 +371,88 @@ def test_html_without_body():
     assert read("<html><body><p>a</p></body></html> b").blocks == [(3, "a"), (2, "b")]
 
 
+class Plain(HTMLParser):
+    """Main text of a labelled page by the library's parser: blocks of the text whose closest mark is 1."""
+
+    BLOCKS = "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li blockquote table tr td figure figcaption pre nav header footer aside form".split()
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.open, self.said, self.found, self.skip = [], [], [], None
+        self.feed(source)
+        self.close()
+        self.end_block()
+
+    def marked(self):
+        return next((m for _, m in reversed(self.open) if m), "") == "1"
+
+    def end_block(self):
+        text = " ".join("".join(self.said).split())
+        if text and self.marked():
+            self.found.append(text)
+        self.said = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.skip = tag
+        elif tag == "br":
+            self.said.append(" ")
+        elif tag not in ("img", "input", "meta"):
+            if tag in self.BLOCKS:
+                names = [t for t, _ in self.open]
+                if "p" in names and "td" not in names[names.index("p") :]:
+                    self.handle_endtag("p")
+                if tag == "li" and "li" in names and not {"ul", "ol"} & set(names[len(names) - names[::-1].index("li") :]):
+                    self.handle_endtag("li")
+                self.end_block()
+            self.open.append((tag, dict(attrs).get("data-y", "")))
+
+    def handle_endtag(self, tag):
+        if tag == self.skip:
+            self.skip = None
+        elif tag in [t for t, _ in self.open]:
+            at = len(self.open) - 1 - [t for t, _ in reversed(self.open)].index(tag)
+            if tag not in self.BLOCKS and any(t == "td" for t, _ in self.open[at:]):
+                return
+            if any(t in self.BLOCKS for t, _ in self.open[at:]):
+                self.end_block()
+            del self.open[at:]
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.said.append(data)
+
+
+def test_html_against_the_librarys_parser():
+    """Reading and joining, on labels instead of odds; then the whole operator against the same labelled text."""
+    maker = html_text._Maker(4711)
+    sources = [maker.page() for _ in range(500)]
+    want = ["\n\n".join(Plain(s).found) for s in sources]
+    for source, text in zip(sources, want, strict=True):
+        page = read(source)
+        _, y = html_text.labelled(page)
+        assert html_text.main_text(page, np.where(y > 0, 1.0, -1.0)) == text
+    got = html_text.extract([re.sub(' data-y="."', "", s) for s in sources], html_text.model())
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.93 * 500
+
+
+def test_html_keeps_what_the_contract_does_not_drop():
+    for tag in ("math", "noscript", "object", "map", "button", "svg", "video", "span"):
+        assert read(f"<p>a <{tag}>x</{tag}> b</p>").blocks == [(1, "a x b")], tag
+    assert [t for _, t in read("<p>a<select><option>x</option></select> b<template><i>y</i></template></p>").blocks] == ["a b"]
+
+
+@pytest.mark.parametrize("piece, end", [("<div>", "</div>"), ("<b>", "</b>"), ("<div></p>", "</div>"), ("<b><dd></dd>", ""), ("<div><li></li>", ""), ("<table><td><i></b>", ""), ("<a '>", "")])
+def test_html_of_deep_nesting_is_linear(piece, end):
+    began = time.process_time()
+    page = read("<p>first</p>" + piece * 200_000 + "deep" + end * 200_000)
+    assert page.blocks[-1][1].endswith("deep") or piece == "<a '>"
+    assert time.process_time() - began < 30
+    if piece == "<div>":
+        html_text.extract(["<div>" * 200_000 + "deep"], html_text.model())
+        assert time.process_time() - began < 90
+
+
 def test_html_on_unseen_layouts():
     maker, trees_ = html_text._Maker(987), html_text.model()
     exact = 0
