@@ -4,14 +4,15 @@ Every source's documents are put in a hashed order. A document's virtual finish
 source up to and including it, divided by the source's target; a source goes around at most `max_passes`
 times. All passes are ordered by finish time over all sources and cut where the total budget is used up.
 
-Nothing is sorted in one task: running sums go through buckets of the order key, whose number is about the
+No table of rows is sorted in one task: running sums go through buckets of the order key, whose number is about the
 square root of the number of rows, so that neither a bucket nor the table of buckets is large and a source
-that holds a third of all rows is spread over many tasks. The cut is found in a histogram of finish times;
-only the one bin it falls in is ordered row by row.
+that holds a third of all rows is spread over many tasks. The key is a hash of id and text, so one id on many rows is
+spread too, and rows alike in both are added up before anything is shuffled. The cut is found in a histogram of
+finish times; only the one bin it falls in is ordered row by row. Sources are ranked in one task, a row each.
 
 Defined cases: a null source is one source, the last; a null or empty text has size 0 and is never taken; all
-sizes 0 gives targets 0; a null id sorts like the empty string; rows alike in id and size are interchangeable,
-so reruns agree; an empty table gives no rows; other columns are not read (`mixed_documents` keeps them all).
+sizes 0 gives targets 0; a null id is ordered like the empty string; rows alike in source, id and text are
+interchangeable, so reruns agree; an empty table gives no rows; other columns are not read (`mixed_documents` keeps them all).
 """
 
 from __future__ import annotations
@@ -53,38 +54,59 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: in
     return per.select("source", "source_size", target.alias("target"))
 
 
-def order_key(id_col: Column) -> Column:
-    """The shuffled order: md5 of the id."""
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def order_key(id_col: Column, text_col: Column) -> Column:
+    """The shuffled order: md5 of the id and the text, so that rows with one id, or null ids, are spread too."""
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text_col, F.lit(""))))
+
+
+def expand(groups: DataFrame, count: str, number: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row of groups `count` times, numbered from 1 in column `number`. Rows with more than `chunk` copies are dealt over tasks in chunks."""
+    few = groups.where(F.col(count) <= chunk).withColumn(number, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count))))
+    chunks = groups.where(F.col(count) > chunk).agg(F.sum(F.ceil(F.col(count) / chunk))).first()[0]
+    if not chunks:
+        return few
+    many = groups.where(F.col(count) > chunk).withColumn("_from_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, F.lit(chunk).cast("bigint"))))
+    many = many.repartition(min(int(chunks), 4096))  # few rows now, many afterwards
+    many = many.withColumn(number, F.explode(F.sequence(F.col("_from_") + 1, F.least(F.col("_from_") + chunk, F.col(count)))))
+    return few.unionByName(many.drop("_from_"))
 
 
 def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, taken, passes, mix_source) per row; passes says how often the mix takes it. The columns in keep follow as _keep_0, _keep_1, ..."""
+    text = F.col(text_col).cast("string")
+    kept = [f"_keep_{i}" for i in range(len(keep))]
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
-        *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)),
-    ).withColumn("key", order_key(F.col("id")))
-    sized, _ = shared.written(sized, "mix-sizes")  # the texts are read once
-    n = sized.count()
-    bits = min(24, max(1, math.ceil(math.log2(max(n, 2)) / 2)))
-    bucket = F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), 24 - bits)
-    sized = sized.withColumn("bucket", bucket)
-
-    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = per_bucket.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
-    inner = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    s, b = F.col("s.source"), F.col("b.source")
-    placed = (
-        sized.withColumn("within", F.sum("size").over(inner)).alias("s")
-        .join(before.alias("b"), s.eqNullSafe(b) & (F.col("s.bucket") == F.col("b.bucket")))
-        .select("s.*", (F.col("before") + F.col("within")).cast("double").alias("upto"))
-        .alias("s")
-        .join(targets(sized, weights, max_passes).alias("b"), s.eqNullSafe(b))
-        .select("s.*", "source_size", "target")
-    )
-    placed, _ = shared.written(placed, "mix-queue")
+        F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
+        order_key(F.col(id_col), text).alias("key"),
+        *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)),
+    )
+    with shared.steps(docs.sparkSession) as tables:
+        # the texts are read once; rows alike in all of this are one group, added up before they are shuffled
+        groups = tables.write(sized.groupBy("source", "key", "id", "size", *kept).agg(F.count("*").alias("copies")), "mix-groups")
+        n = groups.count()
+        bits = min(24, max(1, math.ceil(math.log2(max(n, 2)) / 2)))
+        groups = groups.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), 24 - bits)).withColumn("words", F.col("size") * F.col("copies"))
+        per_bucket = groups.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
+        before = per_bucket.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
+        inner = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *kept).rowsBetween(Window.unboundedPreceding, 0)
+        s, b = F.col("s.source"), F.col("b.source")
+        ranged = (
+            groups.withColumn("within", F.sum("words").over(inner) - F.col("words")).alias("s")
+            .join(before.alias("b"), s.eqNullSafe(b) & (F.col("s.bucket") == F.col("b.bucket")))
+            .select("s.source", "key", "id", "size", *kept, "copies", (F.col("before") + F.col("within")).alias("start"))
+            .alias("s")
+            .join(targets(groups.select("source", F.col("words").alias("size")), weights, max_passes).alias("b"), s.eqNullSafe(b))
+            .select("s.*", "source_size", "target")
+        )
+        ranged = tables.write(ranged, "mix-ranges")
+        placed = expand(ranged, "copies", "copy").withColumn("upto", (F.col("start") + F.col("copy") * F.col("size")).cast("double"))
+        return _taken(placed, bits, max_passes, id_col, kept)
+
+
+def _taken(placed: DataFrame, bits: int, max_passes: int, id_col: str, kept: list[str]) -> DataFrame:
+    """The queue's rows with the passes that the cut leaves them, as a written table."""
 
     def finish(turn: Column) -> Column:
         """Virtual finish time of a row's pass (0, 1, ...)."""
@@ -117,31 +139,31 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                 below = below | ((F.floor(f * bins) == F.lit(first["bin"])) & (at <= cut))
             taken.append(F.coalesce(below, F.lit(False)))
     passes = sum((t.cast("bigint") for t in taken), F.lit(0).cast("bigint"))
-    return placed.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), F.col("source").alias("mix_source"),
-        *(F.col(f"_keep_{i}") for i in range(len(keep))),
-    )
+    out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), F.col("source").alias("mix_source"), *kept)
+    return shared.written(out, "mix-queue")[0]
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns.
 
     The queue runs on ids, sizes and row hashes; whole rows are shuffled once, to meet their number of passes.
-    Fully equal rows share their passes evenly.
+    Fully equal rows are one row, taken as often as all of them.
     """
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     got = queue(docs.withColumn("_row_", row), id_col, text_col, source_col, weights, max_passes, keep=("_row_",))
     per = got.groupBy(F.struct(F.col(id_col).alias("id"), F.col("_keep_0").alias("row")).alias("_key_")).agg(F.sum("passes").alias("_all_"), F.count("*").alias("_equal_"))
-    keyed = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(per.where("_all_ > 0"), "_key_")
-    turn = F.row_number().over(Window.partitionBy("_key_").orderBy("_key_"))  # partitioned and sorted by the join already
-    times = F.floor(F.col("_all_") / F.col("_equal_")) + (turn <= F.col("_all_") % F.col("_equal_")).cast("bigint")
-    out = keyed.withColumn("_times_", times.cast("int")).where("_times_ > 0")
-    return out.withColumn("_turn_", F.explode(F.sequence(F.lit(1), F.col("_times_")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    per = shared.written(per.where("_all_ > 0"), "mix-passes")[0]
+    keyed = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(per, "_key_")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = keyed.where("_equal_ = 1").select(*columns, "_all_")
+    if not per.where("_equal_ > 1").isEmpty():
+        out = out.unionByName(keyed.where("_equal_ > 1").select(*columns, "_all_").distinct())  # combined before the shuffle
+    return out.withColumn("_turn_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_all_")))).select(*columns)
 
 
 SQL = """
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w FROM t GROUP BY source),
 lim AS (SELECT source, source_size, w, 3.0::DOUBLE * source_size AS lim, (sum(source_size) OVER ())::DOUBLE AS total FROM per),
 pre AS (SELECT *, coalesce(sum(lim) OVER r, 0) AS limits_before, sum(w) OVER () - coalesce(sum(w) OVER r, 0) AS w_from FROM lim

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumatab.llm import fair_mix
 
@@ -71,3 +72,26 @@ def test_mixed_rows_add_up(spark):
         want[q.doc_id] = want.get(q.doc_id, 0) + q.passes
     got = {x.doc_id: x["count"] for x in fair_mix.mixed_documents(docs).groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_one_id_on_a_third_of_the_rows(spark):
+    """A null id with different texts is spread over buckets; with one text it is one group before anything is shuffled."""
+    r = random.Random(2)
+    rows = [(None, " ".join(["w"] * r.randint(1, 30)) + f" {i}", "en", "a", 0) for i in range(200)] + [(None, "the same text", "en", "b", 0)] * 200 + [(i, "x " * r.randint(0, 40), "en", r.choice("abc"), 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    keys = docs.where("doc_id IS NULL AND source = 'a'").select(F.substring(fair_mix.order_key(F.col("doc_id"), F.col("text")), 1, 1).alias("k")).groupBy("k").count()
+    assert keys.count() == 16 and keys.agg(F.max("count")).first()[0] < 40
+    got = fair_mix.queue(docs).collect()
+    assert len(got) == len(rows) and sum(g.taken for g in got) <= sum(len(x[1].split()) for x in rows)
+    same = [g.passes for g in got if g.doc_id is None and g.mix_source == "b"]
+    assert len(same) == 200 and max(same) - min(same) <= 1
+    mixed = fair_mix.mixed_documents(docs)
+    assert mixed.where("text = 'the same text'").count() == sum(same)
+    assert mixed.count() == sum(g.passes for g in got)
+
+
+def test_expand(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 3), (3, 10), (4, 8)], "g long, n long")
+    got = fair_mix.expand(groups, "n", "k", chunk=4).collect()
+    assert sorted((x.g, x.k) for x in got) == sorted((g, k) for g, n in ((1, 1), (2, 3), (3, 10), (4, 8)) for k in range(1, n + 1))
+    assert all(x.n >= x.k for x in got)
