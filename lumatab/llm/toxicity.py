@@ -1,12 +1,14 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy (operator 10).
 
 A word is the mean of the vectors of its byte n-grams (with marks at both ends) and of itself, hashed into a
-table; a window of 16 words is the mean of its words; a softmax over two classes reads it off, and a text is
-as toxic as its strongest window, so a few words are not averaged away in a long text. Vectors and softmax are
-learned together on a bounded, balanced sample of labelled rows, and the softmax's bias is moved back to the
-classes' shares. Misspelt words share most n-grams with known ones.
-
-Since all is linear up to the softmax, a window's logit is the mean of its words' logits, and a hash bucket
+table; a text is the mean of all its words; a softmax over two classes reads it off. Since a few words sink in the
+mean of a long text, the same softmax also reads off the means of its windows of 16 words (in which a word said again
+at once counts once), and the strongest of them is a second input of the score: z = bias + a * text + b * window. Vectors
+and softmax are learned together on a bounded, balanced sample of labelled rows; a, b and the bias by logistic
+regression on a fifth of that sample held back for it, weighted to the classes' shares. Misspelt words share most n-grams
+with known ones.
+
+Since all is linear up to the softmax, the logit of a text or window is the mean of its words' logits, and a hash bucket
 needs one number at scoring time: executors get a table of `buckets` floats, whatever the data.
 
 Defined cases: a null or empty text, or one without words, has the mean vector 0 and so the bias alone; a null
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatab.llm import shared
@@ -31,19 +33,20 @@ from lumatab.operators.sampling import smallest
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3_000
+#: Bytes of them, at most.
+SAMPLE_BYTES = 96 << 20
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 #: Words that are averaged together.
 WINDOW = 16
 #: Words that a worker remembers between batches.
 MEMO = 400_000
-_EDGES = b".,;:!?\"'()[]{}<>|*#$%&~`/\\-_=+" + "".encode()
+_EDGES = b".,;:!?\"'()[]{}<>|*#$%&~`/\\-_=+"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words without punctuation at their ends; a word said again at once counts once."""
-    words = [w for x in (text or "").lower().encode().split() if (w := x.strip(_EDGES))]
-    return [w for w, last in zip(words, [b"", *words], strict=False) if w != last]
+    """Lower-cased words without punctuation at their ends."""
+    return [w for x in (text or "").lower().encode().split() if (w := x.strip(_EDGES))]
 
 
 def grams_of(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +81,12 @@ def grams_of(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
 
 @dataclass
 class SubwordModel:
-    """Logit of a window: bias + mean over its words of the mean over their buckets of `weights`."""
+    """Logit of a text: bias + whole * (mean of its words) + window * (mean of its strongest window's words); a word is the mean over its buckets of `weights`."""
 
     bias: float
     weights: np.ndarray
+    whole: float = 0.5
+    window: float = 0.5
 
     def word_logits(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -125,7 +130,11 @@ class Scorer:
                 memo.clear()
             new = list(set().union(*bags).difference(memo))
             memo.update(zip(new, self.model.word_logits(new).tolist(), strict=True))
-            out += [self.model.bias + strongest(np.fromiter(map(memo.__getitem__, b), np.float64, len(b)))[0] for b in bags]
+            for bag in bags:
+                values = np.fromiter(map(memo.__getitem__, bag), np.float64, len(bag))
+                anew = np.fromiter(map(bytes.__ne__, bag, [b"", *bag]), bool, len(bag))
+                whole = float(values.mean()) if len(bag) else 0.0
+                out.append(self.model.bias + self.model.whole * whole + self.model.window * strongest(values[anew])[0])
         return out
 
 
@@ -136,6 +145,7 @@ class _Trainer:
         self.r, self.rate, self.dim, self.buckets = np.random.default_rng(seed), rate, dim, buckets
         names = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.docs = [np.fromiter(map(names.__getitem__, t), np.int32, len(t)) for t in texts]
+        self.runs = [d[np.diff(d, prepend=-1) != 0] for d in self.docs]  # a word said again at once counts once
         words, parts, sizes = list(names), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 50_000):  # a chunk at a time: the driver's memory is small
             found, who = grams_of(words[i : i + 50_000], buckets)
@@ -203,11 +213,25 @@ class _Trainer:
             param[i] -= self.rate * (m[i] / (1 - 0.9**self.t)) / (np.sqrt(v[i] / (1 - 0.999**self.t)) + 1e-7)
 
 
+def combine(x: np.ndarray, y: np.ndarray, n: np.ndarray, pull: float = 0.002, rounds: int = 50) -> np.ndarray:
+    """(bias, weights) of logistic regression by Newton steps; row i counts n[i] times, weights are pulled to one half."""
+    data = np.column_stack([np.ones(len(x)), x])
+    rest = np.array([0.0, *[0.5] * x.shape[1]])
+    ridge = pull * n.sum() * np.diag([1e-6, *[1.0] * x.shape[1]])
+    w = rest.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(data @ w, -30, 30)))
+        slope = data.T @ (n * (p - y)) + ridge @ (w - rest)
+        step = np.linalg.solve((data * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ data + ridge, slope)
+        w -= step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+    return w
+
+
 def fit(texts: list[list[bytes]], y: np.ndarray, share: float, dim: int = 8, warm: int = 3, steps: int = 2000, batch: int = 64, rate: float = 0.02, least: int = 5, buckets: int = BUCKETS, seed: int = 7) -> SubwordModel:
     """A model from texts as word lists, of about balanced classes; `share` is label 1's among all rows.
 
-    After `warm` epochs on whole texts come epochs of about `steps` steps in all, in which a text is learned from its strongest window as the model stands, and a
-    text of label 0 also from a window at random.
+    After `warm` epochs on whole texts come epochs, up to about `steps` steps in all, in which a text is learned from its strongest window as the model
+    stands, and a text of label 0 also from a window at random. A fifth of the texts is held back to weigh text and window.
     """
     share = float(np.clip(share, 1e-3, 1 - 1e-3))
     prior = float(np.log(share / (1 - share)))
@@ -215,18 +239,22 @@ def fit(texts: list[list[bytes]], y: np.ndarray, share: float, dim: int = 8, war
         return SubwordModel(prior, np.zeros(buckets, np.float32))
     least = max(2, min(least, len(y) // 50))
     learner = _Trainer(texts, dim, least, rate, buckets, seed)
-    r, docs = learner.r, learner.docs
+    r, docs, runs = learner.r, learner.docs, learner.runs
+    back = r.random(len(y)) < 0.2
+    if len(y) < 100 or len(set(y[back])) < 2 or len(set(y[~back])) < 2:
+        back = np.zeros(len(y), bool)
+    own = np.flatnonzero(~back)
     epoch = 0
     while epoch < warm or learner.t < steps:
-        parts, truth = list(docs), list(y)
+        parts, truth = [docs[i] for i in own], list(y[own])
         if epoch >= warm:
             logits = learner.word_logits()
-            parts = [d[slice(*strongest(logits[d])[1:])] for d in docs]
-            for i in np.flatnonzero(y == 0):
-                starts, ends = windows(len(docs[i]))
+            parts = [runs[i][slice(*strongest(logits[runs[i]])[1:])] for i in own]
+            for i in own[y[own] == 0]:
+                starts, ends = windows(len(runs[i]))
                 if len(starts) > 1:
                     k = int(r.integers(len(starts)))
-                    parts.append(docs[i][starts[k] : ends[k]])
+                    parts.append(runs[i][starts[k] : ends[k]])
                     truth.append(0.0)
         truth = np.array(truth)
         for ids in np.array_split(r.permutation(len(parts)), max(1, len(parts) // batch)):
@@ -234,34 +262,43 @@ def fit(texts: list[list[bytes]], y: np.ndarray, share: float, dim: int = 8, war
         epoch += 1
     weights = np.zeros(buckets, np.float32)
     weights[learner.used[1:]] = learner.weights()[1:]
-    seen = float(truth.mean())  # label 1's share of what the last epoch learned from
-    return SubwordModel(float(learner.bias[1] - learner.bias[0]) + prior - float(np.log(seen / (1 - seen))), weights)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> SubwordModel:
-    """A model from labelled rows outside the held-out fold: up to `sample` of each class, by md5 of the id."""
+    if not back.any():
+        seen = float(truth.mean())  # label 1's share of what the last epoch learned from
+        return SubwordModel(float(learner.bias[1] - learner.bias[0]) + prior - float(np.log(seen / (1 - seen))), weights)
+    logits, held = learner.word_logits(), np.flatnonzero(back)
+    x = np.array([[logits[docs[i]].mean() if len(docs[i]) else 0.0, strongest(logits[runs[i]])[0]] for i in held])
+    mean = float(y[held].mean())
+    bias, whole, window = combine(x, y[held], np.where(y[held] == 1, share / mean, (1 - share) / (1 - mean)))
+    return SubwordModel(float(bias), weights, float(whole), float(window))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> SubwordModel:
+    """A model from labelled rows outside the held-out fold: up to `sample` of each class, by md5 of the id, of `sample_bytes` bytes together at most."""
     key = F.col(id_col).cast("string")
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col), folds) != held_out)).select(key.alias("key"), F.col(label_col).cast("int").alias("label"))
-    usable, _ = shared.written(usable, "toxic-labels")
-    shares = usable.agg(F.avg("label")).first()[0]
-    if shares is None:
-        return SubwordModel(0.0, np.zeros(BUCKETS, np.float32))
-    picked = [smallest(usable.where(F.col("label") == v), F.md5("key"), ["key"], sample) for v in (0, 1)]
-    chosen, _ = shared.written(picked[0].unionByName(picked[1]), "toxic-sample")
-    rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "key")  # at most 2 * `sample` short rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([b" ".join(words_of(t.as_py())) for t in b.column(2)], pa.binary())], ["key", "label", "words"])
-
-    got = rows.select("key", "label", "t").mapInArrow(run, "key string, label int, words binary")
-    got = got.orderBy(F.md5("key"), "label", "words").limit(2 * sample).toArrow()  # again bounded, should ids repeat
+    with shared.steps(docs.sparkSession) as tables:
+        usable = tables.write(usable, "toxic-labels")
+        shares = usable.agg(F.avg("label")).first()[0]
+        if shares is None:
+            return SubwordModel(0.0, np.zeros(BUCKETS, np.float32))
+        picked = [smallest(usable.where(F.col("label") == v), F.md5("key"), ["key"], sample) for v in (0, 1)]
+        chosen = tables.write(picked[0].unionByName(picked[1]), "toxic-sample")
+        rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "key")  # at most 2 * `sample` short rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([b" ".join(words_of(t.as_py())) for t in b.column(2)], pa.binary())], ["key", "label", "words"])
+
+        got = rows.select("key", "label", "t").mapInArrow(run, "key string, label int, words binary")
+        order = [F.md5("key"), F.col("label"), F.col("words")]
+        got = got.orderBy(*order).limit(2 * sample)  # again bounded, should ids repeat; and in bytes, as the driver holds them
+        got = got.withColumn("upto", F.sum(F.length("words")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= sample_bytes).toArrow()
     return fit([w.split() for w in got.column("words").to_pylist()], got.column("label").to_numpy().astype(np.float64), float(shares))
 
 
 def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
     """(id, held_out, score, predicted) per row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.whole, model.window))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

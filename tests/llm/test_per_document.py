@@ -150,6 +150,43 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_by_plain_loops():
+    """The score from the model's table alone: n-grams hashed one by one, means of all words and of every window."""
+    mask = 2**64 - 1
+
+    def slot(gram, k, buckets):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + c + 1) & mask
+        return ((h ^ k) * 0x9E3779B97F4A7C15 & mask) >> 40, buckets
+
+    def word(w, weights):
+        w, found = b"<" + w + b">", []
+        for k in toxicity.GRAMS:
+            found += [slot(w[i : i + k], k, len(weights))[0] % len(weights) for i in range(len(w) - k + 1)]
+        whole = sum((c + 1) * pow(0x100000001B3, i + 1, 2**64) for i, c in enumerate(w)) & mask
+        found.append(((whole * 0x9E3779B97F4A7C15 & mask) >> 40) % len(weights))
+        return sum(float(weights[x]) for x in found) / len(found)
+
+    r = random.Random(3)
+    model = toxicity.SubwordModel(-0.3, np.random.default_rng(3).normal(size=1000).astype(np.float32), 0.7, 1.3)
+    texts = [None, "", " , ", "One", "a a a b", *(" ".join(r.choices(["Stop!", "go", "go", "naïve", "x" * 40, "(well)", "...", "É"], k=r.randint(1, 90))) for _ in range(40))]
+    for text, z in zip(texts, toxicity.Scorer(model).logits(texts), strict=True):
+        words = [x for w in re.findall("[^ \t\n\x0b\x0c\r]+", (text or "").lower()) if (x := w.encode().strip(toxicity._EDGES))]
+        own = [word(w, model.weights) for w in words]
+        runs = [v for i, v in enumerate(own) if not i or words[i] != words[i - 1]]
+        starts = [*range(0, len(runs) - 16, 16), len(runs) - 16] if len(runs) > 16 else [0]
+        best = max((sum(runs[i : i + 16]) / len(runs[i : i + 16]) for i in starts), default=0.0) if runs else 0.0
+        assert z == pytest.approx(-0.3 + 0.7 * (sum(own) / len(own) if own else 0.0) + 1.3 * best, abs=1e-6)
+
+
+def test_weights_of_text_and_window():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(4000, 2))
+    y = (r.random(4000) < 1 / (1 + np.exp(-(x @ [2.0, 0.0] - 1)))).astype(float)
+    assert toxicity.combine(x, y, np.ones(4000), pull=1e-6) == pytest.approx([-1, 2, 0], abs=0.2)
+
+
 def test_gram_table():
     words = [b"ab", b"abc", b"x" * 300, "é".encode()]
     bucket, who = toxicity.grams_of(words)
