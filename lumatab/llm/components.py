@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lumatab.llm import shared
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node in edges (a, b), any orderable type; component is the smallest node reachable."""
+def connected_components(edges: DataFrame, tables: shared.Steps, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of every node in edges (a, b), any orderable type; component is the smallest node reachable. It reads a table that goes with the others of `tables`."""
     spark = edges.sparkSession
     pairs, at = shared.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = _state(pairs)
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             shared.drop(spark, path)
         at, last, state = at3, state, _state(pairs)
         if state == last:
+            tables.paths["components"] = at
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 

@@ -270,7 +270,7 @@ def near_duplicates(
         classes = tables.write(grouped.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
         found = _links(spark, tables, classes, kind, threshold, _plans(classes, kind, sample, max_cells, blocks), blocks, block_bytes, products)
         links = found.where("c IS NOT NULL").groupBy("c").agg(F.sum("links").alias("links"))
-        nodes = connected_components(found.where("a IS NOT NULL").select("a", "b"))
+        nodes = connected_components(found.where("a IS NOT NULL").select("a", "b"), tables)
         members = tables.write(nodes.join(classes.select("c", "own"), F.col("node") == F.col("c")).select("c", "component", "own"), "vector-members")
         firsts = members.groupBy("component").agg(F.min("own").alias("first"))
         reached = members.select(F.col("c").alias("rid"), "component").join(firsts, "component").select("rid", "first")

@@ -73,6 +73,11 @@ def expand(groups: DataFrame, count: str, number: str, chunk: int = 1 << 16) ->
 
 def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, taken, passes, mix_source) per row; passes says how often the mix takes it. The columns in keep follow as _keep_0, _keep_1, ..."""
+    with shared.steps(docs.sparkSession) as tables:
+        return shared.written(_queue(tables, docs, id_col, text_col, source_col, weights, max_passes, keep), "mix-queue")[0]
+
+
+def _queue(tables: shared.Steps, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_passes: int, keep: tuple[str, ...]) -> DataFrame:
     text = F.col(text_col).cast("string")
     kept = [f"_keep_{i}" for i in range(len(keep))]
     sized = docs.select(
@@ -82,31 +87,30 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         order_key(F.col(id_col), text).alias("key"),
         *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)),
     )
-    with shared.steps(docs.sparkSession) as tables:
-        # the texts are read once; rows alike in all of this are one group, added up before they are shuffled
-        groups = tables.write(sized.groupBy("source", "key", "id", "size", *kept).agg(F.count("*").alias("copies")), "mix-groups")
-        n = groups.count()
-        bits = min(24, max(1, math.ceil(math.log2(max(n, 2)) / 2)))
-        groups = groups.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), 24 - bits)).withColumn("words", F.col("size") * F.col("copies"))
-        per_bucket = groups.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
-        before = per_bucket.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
-        inner = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *kept).rowsBetween(Window.unboundedPreceding, 0)
-        s, b = F.col("s.source"), F.col("b.source")
-        ranged = (
-            groups.withColumn("within", F.sum("words").over(inner) - F.col("words")).alias("s")
-            .join(before.alias("b"), s.eqNullSafe(b) & (F.col("s.bucket") == F.col("b.bucket")))
-            .select("s.source", "key", "id", "size", *kept, "copies", (F.col("before") + F.col("within")).alias("start"))
-            .alias("s")
-            .join(targets(groups.select("source", F.col("words").alias("size")), weights, max_passes).alias("b"), s.eqNullSafe(b))
-            .select("s.*", "source_size", "target")
-        )
-        ranged = tables.write(ranged, "mix-ranges")
-        placed = expand(ranged, "copies", "copy").withColumn("upto", (F.col("start") + F.col("copy") * F.col("size")).cast("double"))
-        return _taken(placed, bits, max_passes, id_col, kept)
+    # the texts are read once; rows alike in all of this are one group, added up before they are shuffled
+    groups = tables.write(sized.groupBy("source", "key", "id", "size", *kept).agg(F.count("*").alias("copies")), "mix-groups")
+    n = groups.count()
+    bits = min(24, max(1, math.ceil(math.log2(max(n, 2)) / 2)))
+    groups = groups.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 6), 16, 10).cast("int"), 24 - bits)).withColumn("words", F.col("size") * F.col("copies"))
+    per_bucket = groups.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
+    before = per_bucket.select("source", "bucket", (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
+    inner = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *kept).rowsBetween(Window.unboundedPreceding, 0)
+    s, b = F.col("s.source"), F.col("b.source")
+    ranged = (
+        groups.withColumn("within", F.sum("words").over(inner) - F.col("words")).alias("s")
+        .join(before.alias("b"), s.eqNullSafe(b) & (F.col("s.bucket") == F.col("b.bucket")))
+        .select("s.source", "key", "id", "size", *kept, "copies", (F.col("before") + F.col("within")).alias("start"))
+        .alias("s")
+        .join(targets(groups.select("source", F.col("words").alias("size")), weights, max_passes).alias("b"), s.eqNullSafe(b))
+        .select("s.*", "source_size", "target")
+    )
+    ranged = tables.write(ranged, "mix-ranges")
+    placed = expand(ranged, "copies", "copy").withColumn("upto", (F.col("start") + F.col("copy") * F.col("size")).cast("double"))
+    return _taken(placed, bits, max_passes, id_col, kept)
 
 
 def _taken(placed: DataFrame, bits: int, max_passes: int, id_col: str, kept: list[str]) -> DataFrame:
-    """The queue's rows with the passes that the cut leaves them, as a written table."""
+    """The queue's rows with the passes that the cut leaves them."""
 
     def finish(turn: Column) -> Column:
         """Virtual finish time of a row's pass (0, 1, ...)."""
@@ -139,8 +143,7 @@ def _taken(placed: DataFrame, bits: int, max_passes: int, id_col: str, kept: lis
                 below = below | ((F.floor(f * bins) == F.lit(first["bin"])) & (at <= cut))
             taken.append(F.coalesce(below, F.lit(False)))
     passes = sum((t.cast("bigint") for t in taken), F.lit(0).cast("bigint"))
-    out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), F.col("source").alias("mix_source"), *kept)
-    return shared.written(out, "mix-queue")[0]
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), F.col("source").alias("mix_source"), *kept)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -150,9 +153,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fully equal rows are one row, taken as often as all of them.
     """
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    got = queue(docs.withColumn("_row_", row), id_col, text_col, source_col, weights, max_passes, keep=("_row_",))
-    per = got.groupBy(F.struct(F.col(id_col).alias("id"), F.col("_keep_0").alias("row")).alias("_key_")).agg(F.sum("passes").alias("_all_"), F.count("*").alias("_equal_"))
-    per = shared.written(per.where("_all_ > 0"), "mix-passes")[0]
+    with shared.steps(docs.sparkSession) as tables:
+        got = _queue(tables, docs.withColumn("_row_", row), id_col, text_col, source_col, weights, max_passes, ("_row_",))
+        per = got.groupBy(F.struct(F.col(id_col).alias("id"), F.col("_keep_0").alias("row")).alias("_key_")).agg(F.sum("passes").alias("_all_"), F.count("*").alias("_equal_"))
+        per = shared.written(per.where("_all_ > 0"), "mix-passes")[0]
     keyed = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(per, "_key_")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     out = keyed.where("_equal_ = 1").select(*columns, "_all_")

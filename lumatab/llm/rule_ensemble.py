@@ -217,10 +217,11 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, folds: int,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> RuleModel:
     """A model from labelled rows outside the held-out fold."""
-    chosen, _ = shared.written(labelled_sample(labels, label_col, id_col, folds, held_out, sample), "labelled")
-    rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "key")  # at most `sample` short rows
-    stats = with_statistics(rows, "t", {"key": F.col("key"), "label": F.col("label")})
-    got = stats.orderBy(F.md5("key"), "label", "stats").limit(sample).toArrow()  # again at most `sample`, should ids repeat
+    with shared.steps(docs.sparkSession) as tables:
+        chosen = tables.write(labelled_sample(labels, label_col, id_col, folds, held_out, sample), "labelled")
+        rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "key")  # at most `sample` short rows
+        stats = with_statistics(rows, "t", {"key": F.col("key"), "label": F.col("label")})
+        got = stats.orderBy(F.md5("key"), "label", "stats").limit(sample).toArrow()  # again at most `sample`, should ids repeat
     x = got.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS)) if got.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, got.column("label").to_numpy().astype(np.float64))
 

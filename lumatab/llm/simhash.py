@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumatab.llm import shared
@@ -171,17 +171,17 @@ def blocks_for(classes: int, radius: int = RADIUS, bucket: int = 64) -> int:
     return radius + 4
 
 
-def near_edges(classes: DataFrame, count: int, radius: int = RADIUS, bucket_rows: int = 2048, held: int = 1 << 17) -> DataFrame:
+def near_edges(classes: DataFrame, count: int, tables: shared.Steps, radius: int = RADIUS, bucket_rows: int = 2048, held: int = 1 << 17) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that connect all within `radius` bits."""
     n = blocks_for(count, radius)
     cuts = [64 * i // n for i in range(n + 1)]
     masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(n)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    tables = [signed(sum(masks[i] for i in c)) for c in combinations(range(n), n - radius)]
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))) for t, m in enumerate(tables))))
+    agreeing = [signed(sum(masks[i] for i in c)) for c in combinations(range(n), n - radius)]
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))) for t, m in enumerate(agreeing))))
     rows = classes.select("fp", keys.alias("g"))
     # two buckets whose hashes collide are only compared as one
-    large, _ = shared.written(rows.groupBy("g").count().where(F.col("count") > bucket_rows).select(F.col("g").alias("big"), F.ceil(F.col("count") * 2 / bucket_rows).cast("int").alias("parts")), "large-buckets")
+    large = tables.write(rows.groupBy("g").count().where(F.col("count") > bucket_rows).select(F.col("g").alias("big"), F.ceil(F.col("count") * 2 / bucket_rows).cast("int").alias("parts")), "large-buckets")
     if large.isEmpty():
         dealt = rows
     else:
@@ -212,32 +212,37 @@ def near_edges(classes: DataFrame, count: int, radius: int = RADIUS, bucket_rows
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def linked(prints: DataFrame, key: Column, radius: int = RADIUS) -> DataFrame:
+def linked(prints: DataFrame, key: Column, tables: shared.Steps, radius: int = RADIUS) -> DataFrame:
     """(fp, first) of every distinct fingerprint; first is the smallest key in its component. prints is a written table with fp."""
-    classes, _ = shared.written(prints.groupBy("fp").agg(F.min(key).alias("own")), "classes")
-    nodes = connected_components(near_edges(classes, classes.count(), radius))
-    members, _ = shared.written(nodes.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "own"), "members")
+    classes = tables.write(prints.groupBy("fp").agg(F.min(key).alias("own")), "classes")
+    nodes = connected_components(near_edges(classes, classes.count(), tables, radius), tables)
+    members = tables.write(nodes.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "own"), "members")
     firsts = members.groupBy("component").agg(F.min("own").alias("first"))
     found = members.select("fp", "component").join(firsts, "component").select(F.col("fp").alias("f"), "first", F.lit(True).alias("hit"))
-    reps = classes.join(found, F.col("fp") == F.col("f"), "left").select("fp", F.when(F.col("hit"), F.col("first")).otherwise(F.col("own")).alias("first"))
-    return shared.written(reps, "representatives")[0]
+    return classes.join(found, F.col("fp") == F.col("f"), "left").select("fp", F.when(F.col("hit"), F.col("first")).otherwise(F.col("own")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) per row."""
-    prints, _ = shared.written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    reps = linked(prints, F.col("id"), radius)
-    shown = F.lower(F.lpad(F.hex("p.fp"), 16, "0"))
-    return prints.alias("p").join(reps.alias("r"), F.col("p.fp") == F.col("r.fp")).select(F.col("id").alias(id_col), shown.alias("fingerprint"), F.col("first").alias("component_id"))
+    with shared.steps(docs.sparkSession) as tables:
+        prints = tables.write(fingerprints(docs, id_col, text_col, width), "fingerprints")
+        reps = tables.write(linked(prints, F.col("id"), tables, radius), "representatives")
+        shown = F.lower(F.lpad(F.hex("p.fp"), 16, "0"))
+        out = prints.alias("p").join(reps.alias("r"), F.col("p.fp") == F.col("r.fp")).select(F.col("id").alias(id_col), shown.alias("fingerprint"), F.col("first").alias("component_id"))
+        return shared.written(out, "simhash-result")[0]
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest (id, hash of the row), null ids first; of fully equal rows one."""
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    prints, _ = shared.written(fingerprints(docs, id_col, text_col, width, {"row": row}), "fingerprints")
-    reps = linked(prints, F.struct("id", "row"), radius)
-    stay = reps.select(F.col("first").alias("_key_"))
-    found = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(stay, "_key_", "left_semi")
-    # partitioned and sorted by the join already
-    once = F.row_number().over(Window.partitionBy("_key_").orderBy("_key_"))
-    return found.withColumn("_turn_", once).where("_turn_ = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    with shared.steps(docs.sparkSession) as tables:
+        prints = tables.write(fingerprints(docs, id_col, text_col, width, {"row": row}), "fingerprints")
+        reps = linked(prints, F.struct("id", "row"), tables, radius).select(F.col("first").alias("_key_"))
+        equal = prints.groupBy(F.struct("id", "row").alias("_own_")).agg(F.count("*").alias("n")).where("n > 1")
+        stay, _ = shared.written(reps.join(equal, F.col("_key_") == F.col("_own_"), "left").select("_key_", F.col("n").isNotNull().alias("_equal_")), "simhash-stay")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(stay, "_key_")
+    out = found.where("NOT _equal_").select(*columns)
+    if not stay.where("_equal_").isEmpty():
+        out = out.unionByName(found.where("_equal_").select(*columns).distinct())  # combined before the shuffle
+    return out

@@ -16,9 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
-import tempfile
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +38,9 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧]")
 _WORDS = re.compile("[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9ªµºß-öø-ſ²³¹¼-¾]+")
 #: Words that a worker remembers between batches.
 MEMO = 400_000
-#: Words compiled into the lexicon, at most.
+#: Words compiled into the lexicon, at most, and their length in bytes; longer ones are merged like rare ones.
 LEXICON = 131_072
+LEXICON_BYTES = 64
 
 
 class Merges:
@@ -228,7 +227,7 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int
     a doubling so that at most `size` words pass; no sort, and no more than that reaches the driver.
     """
     spark = docs.sparkSession
-    counts, at = shared.written(count_words(docs, path, text_col).where("n > 1"), "words")
+    counts, at = shared.written(count_words(docs, path, text_col).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)), "words")
     level = F.floor(F.log2("n") * 16).cast("int")
     total, bound = 0, None
     for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 1,024 levels
@@ -244,10 +243,9 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int
     data = compile_words({w.encode(): merges.merge(w) for w in words if w not in merges.special})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.lex"
     if not any(f.endswith("/" + name) for f in spark.sparkContext.listFiles):  # the same words again: the same file
-        local = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-        with open(local, "wb") as f:
-            f.write(data)
-        spark.sparkContext.addFile(local)  # Spark serves it to every executor
+        path = f"{shared.home(spark)}/{name}"
+        shared.store(spark, path, data)
+        spark.sparkContext.addFile(path)  # every executor gets it from the shared folder
     return name
 
 

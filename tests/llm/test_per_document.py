@@ -113,6 +113,46 @@ def test_rule_ensemble(spark):
     assert {r.doc_id for r in rule_ensemble.accepted(docs, model).collect()} == {s.doc_id for s in scored if s.predicted}
 
 
+def test_statistics_by_plain_counts():
+    """The twenty statistics from their definitions, character by character and word by word."""
+
+    def plain(text):
+        words = re.findall("[^ \t\n\x0b\x0c\r]+", text)
+        n, blank = len(words), " \t\n\x0b\x0c\r"
+        raw = [w.encode() for w in words]
+        lines = [x.strip(blank) for x in text.split("\n") if x.strip(blank)]
+        chars = sum(c not in blank for c in text)
+        times = lambda marks: sum(text.startswith(m, i) for m in marks for i in range(len(text)))
+        upper, lower, digits = (sum(a <= c <= b for c in text) for a, b in ("AZ", "az", "09"))
+        shouts, i = 0, 0
+        while (i := text.find("!!", i)) >= 0:
+            shouts, i = shouts + 1, i + 2
+        return [
+            np.log1p(n), chars / n, len(set(words)) / n, plain_counts(text)[4] / n, sum(a == b for a, b in zip(words, words[1:])) / n, max(words.count(w) for w in set(words)) / n, n / len(lines),
+            1 - len(set(lines)) / len(lines), times([". ", ".\n", "? ", "! "]) / n, text.count(",") / n, times("#*$%&<>~^=") / n, text.count("|") / n, shouts / n, digits / chars, upper / max(1, upper + lower),
+            (upper + lower + len(text.encode()) - len(text)) / chars, sum(len(w) == 1 for w in raw) / n, sum(len(w) > 20 for w in raw) / n, len(text.encode()) / len(text), times("{}[]\\_") / n,
+        ]
+
+    r = random.Random(12)
+    pieces = ["the ", "A", "word, ", "x|y ", "!!! ", "\n", " \n", "naïve ", "한국 ", "12 ", "#tag ", "{a_b} ", "the the the ", ". ", "?", "supercalifragilisticexpialidocious ", "\t", "\x85", "é"]
+    texts = [t for _, t, *_ in HARD if t and t.strip(" \t\n\x0b\x0c\r") and len(t) < 10_000] + ["".join(r.choices(pieces, k=r.randint(3, 80))) + "end" for _ in range(150)]
+    for t in texts:
+        assert rule_ensemble.statistics(t) == pytest.approx(plain(t)), t
+    assert rule_ensemble.statistics(None) == rule_ensemble.statistics("") == [0.0] * len(rule_ensemble.STATISTICS)
+
+
+def test_score_by_plain_rules(spark):
+    """The compiled expression against the rules one by one."""
+    docs, labels = labelled_docs(spark, 300)
+    model = rule_ensemble.train(docs, labels)
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    assert model.rules
+    for s in rule_ensemble.score(docs, model).collect():
+        x = rule_ensemble.statistics(texts[s.doc_id])
+        z = model.base + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all(x[f] <= cut if low else x[f] > cut for f, cut, low in rule))
+        assert s.score == pytest.approx(1 / (1 + np.exp(-z))) and s.predicted == (s.score >= 0.5)
+
+
 def test_held_out_labels_play_no_part(spark):
     docs, labels = labelled_docs(spark, 200)
     wrong = labels.withColumn("quality", F.when(rule_ensemble.fold(F.col("doc_id"), 3) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))

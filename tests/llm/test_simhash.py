@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumatab.llm import simhash
+from lumatab.llm import shared, simhash
 from lumatab.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,8 +67,9 @@ def spread(seed, n):
 @pytest.mark.parametrize("count, bucket_rows", [(10, 2048), (10**9, 2048), (10, 6)])
 def test_links(spark, count, bucket_rows):
     values = sorted(set(spread(count, 500)))
-    edges = simhash.near_edges(spark.createDataFrame([(v,) for v in values], "fp long"), count, bucket_rows=bucket_rows)
-    got = plain_components([tuple(e) for e in edges.collect()], values)
+    with shared.steps(spark) as tables:
+        edges = simhash.near_edges(spark.createDataFrame([(v,) for v in values], "fp long"), count, tables, bucket_rows=bucket_rows)
+        got = plain_components([tuple(e) for e in edges.collect()], values)
     want = plain_components([(a, b) for a in values for b in values if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4], values)
     assert got == want
 
@@ -77,9 +78,10 @@ def test_components(spark):
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2000 + i) for i in range(400)]
     nodes = {x for p in pairs if p[0] != p[1] for x in p}
-    got = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
-    assert got == plain_components(pairs, nodes)
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with shared.steps(spark) as tables:
+        got = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long"), tables).collect()))
+        assert got == plain_components(pairs, nodes)
+        assert connected_components(spark.createDataFrame([], "a long, b long"), tables).count() == 0
 
 
 def test_whole_operator(spark):
