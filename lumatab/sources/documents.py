@@ -6,6 +6,7 @@ parallel. Reading is strict: what is ambiguous is an error, not a guess.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -109,7 +110,10 @@ def cell(value: Any) -> str | None:
     """A value as table text: nested ones as JSON, booleans as true and false."""
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False)
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return "nested too deeply"
 
 
 def flat_xml(e: ET.Element, prefix: str = "") -> dict[str, str | None]:
@@ -142,37 +146,71 @@ def xml_rows(text: str) -> list[dict[str, str | None]]:
     return [flat_xml(r) for r in rows]
 
 
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]')
+_START = re.compile(r"[{\[]|<\??[A-Za-z]")
+_ROOT = re.compile(r"(?:<\?xml.*?\?>\s*)?<([\w:.-]+)", re.S)
+
+
+def _still_open(text: str, start: int, stop: int) -> tuple[list[int], int]:
+    """Places of the brackets from start to stop that are not closed there, strings aside, and where the first one is closed, else start."""
+    stack: list[int] = []
+    for m in _MARK.finditer(text, start, stop):
+        if m.group() in "[{":
+            stack.append(m.start())
+        elif m.group() in "]}" and stack:
+            stack.pop()
+            if not stack:
+                return stack, m.end()
+    return stack, start
+
+
 def embedded(text: str | None) -> Iterator[tuple[str, list[dict[str, Any]], dict[str, str]]]:
-    """(kind, records, metadata) of JSON and XML documents that stand inside a text, in order; broken ones are passed over."""
+    """(kind, records, metadata) of JSON and XML documents that stand inside a text, in order; broken ones and ones nested beyond the parser's depth are passed over."""
     at, text = 0, text or ""
     decoder = json.JSONDecoder()
-    while m := re.compile(r"[{\[]|<\??[A-Za-z]").search(text, at):
+    broken: set[int] = set()  # brackets that a failed reading has found open: from there it would fail at the same place
+    ends: dict[str, list[int]] = {}
+    for m in re.finditer(r"</([\w:.-]+)>", text):
+        ends.setdefault(m[1], []).append(m.start())
+    while m := _START.search(text, at):
         at = m.end()
         if m.group() in "{[":
+            if m.start() in broken:
+                continue
             try:
                 tree, end = decoder.raw_decode(text, m.start())
-            except ValueError:
+                rows = tree if isinstance(tree, list) else next((c for _, c in candidates(tree)), [tree])
+                rows = [r for r in rows if isinstance(r, dict)]
+                meta = {k: str(v) for k, v in _scalars(tree).items()} if isinstance(tree, dict) and rows != [tree] else {}
+            except ValueError as e:
+                broken.update(_still_open(text, m.start(), getattr(e, "pos", len(text)))[0])
+                continue
+            except RecursionError:
+                still, end = _still_open(text, m.start(), len(text))
+                broken.update(still)
+                at = max(at, end)
                 continue
-            rows = tree if isinstance(tree, list) else next((c for _, c in candidates(tree)), [tree])
-            rows = [r for r in rows if isinstance(r, dict)]
             if rows:
-                yield "json", rows, {k: str(v) for k, v in _scalars(tree).items()} if isinstance(tree, dict) and rows != [tree] else {}
+                yield "json", rows, meta
                 at = end
             continue
-        name = re.compile(r"(?:<\?xml.*?\?>\s*)?<([\w:.-]+)", re.S).match(text, m.start())
-        end = text.find(f"</{name[1]}>", at) if name else -1
-        if end < 0:
+        name = _ROOT.match(text, m.start())
+        closing = ends.get(name[1], []) if name else []
+        place = bisect.bisect_left(closing, at)
+        if place == len(closing):
             continue
-        part = text[m.start() : end + len(name[1]) + 3]
+        part = text[m.start() : closing[place] + len(name[1]) + 3]
         try:
             root = parse_xml(part)
-        except (ET.ParseError, ValueError):
-            continue
-        if len(root):
+            if not len(root):
+                continue
             head = root.find(".//{*}header")
             meta = {local(c.tag): (c.text or "").strip() for c in head} if head is not None else {}
-            yield "xml", xml_rows(part), meta
-            at = m.start() + len(part)
+            rows = xml_rows(part)
+        except (ET.ParseError, ValueError, RecursionError):
+            continue
+        yield "xml", rows, meta
+        at = m.start() + len(part)
 
 
 def _scalars(tree: Any) -> dict[str, Any]:
@@ -223,7 +261,10 @@ def document_table(df: DataFrame, text_col: str, kind: str, columns: list[str],
             for text in b.column(0).to_pylist():
                 if text is None:
                     continue
-                found = xml_rows(text) if kind == "xml" and path is None else records(text, kind, path)
+                try:
+                    found = xml_rows(text) if kind == "xml" and path is None else records(text, kind, path)
+                except RecursionError:
+                    raise ValueError("a document is nested too deeply") from None
                 yield pa.RecordBatch.from_arrays([pa.array([cell(r.get(c)) for r in found], pa.string()) for c in columns], columns)
 
     return df.select(F.col(text_col).cast("string")).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))

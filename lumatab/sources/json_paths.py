@@ -53,7 +53,7 @@ def flatten(df: DataFrame, column: str) -> DataFrame:
                         continue
                     try:
                         tree = json.loads(text)
-                    except ValueError:
+                    except (ValueError, RecursionError):  # no JSON, or nested beyond the parser's depth
                         rows.append(("$", "invalid", text))
                         continue
                     rows += [(p, k, None if k in ("object", "array", "null") else v if isinstance(v, str) else json.dumps(v)) for p, k, v in walk(tree)]
@@ -73,7 +73,7 @@ def path_statistics(df: DataFrame, column: str) -> DataFrame:
     )
     above = F.when(F.instr(F.substring("path", 2, 1 << 30), "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise(F.lit("$"))
     parent = per.select(F.col("path").alias("_p"), F.col("kinds").alias("_k"), F.col("occurrences").alias("_o"))
-    joined = per.withColumn("_up", F.when(F.col("path") != "$", above)).join(F.broadcast(parent), F.col("_up") == F.col("_p"), "left")  # a row a path
+    joined = per.withColumn("_up", F.when(F.col("path") != "$", above)).join(parent, F.col("_up") == F.col("_p"), "left")  # a row a path; keys that are ids give many
     return joined.select(*per.columns, F.when(F.col("_k") == "object", F.greatest(F.col("_o") - F.col("occurrences"), F.lit(0))).alias("missing"))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import math
+import re
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,6 +100,19 @@ def xml_records(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("<record>"), *fields, F.lit("</record>")).alias("record"))
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's records, the first one after a root's opening tag and the last one before its end, so that every part file is a document and a line is still a record."""
+    held, opening = None, '<?xml version="1.0" encoding="UTF-8"?><records>'
+    for b in batches:
+        if b.num_rows:
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([held], ["record"])
+            held = pa.array([opening + b.column(0)[0].as_py(), *b.column(0)[1:].to_pylist()], pa.string()) if opening else b.column(0)
+            opening = ""
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([*held[:-1].to_pylist(), held[-1].as_py() + "</records>"], pa.string())], ["record"])
+
+
 def envelope_pages(df: DataFrame, order: str, rows_per_page: int = 1000) -> DataFrame:
     """(page_no, body) responses of a public API, a page of bounded size a row: header, totalCount, pageNo, numOfRows, items. `order` numbers rows from 0 without gaps or is a unique number."""
     total = df.agg(F.count("*").alias("_total"))
@@ -160,8 +178,28 @@ def write_table(df: DataFrame, path: str, kind: str) -> None:
     elif kind == "parquet":
         out.parquet(path)
     elif kind == "xml":
-        xml_records(flat(df)).write.mode("errorifexists").text(path)
+        xml_records(flat(df)).mapInArrow(_rooted, "record string").write.mode("errorifexists").text(path)
     elif kind == "sql":
         df.select(F.concat(F.lit("INSERT INTO `converted_data` VALUES "), insert_rows(df), F.lit(";")).alias("line")).write.mode("errorifexists").text(path)
     else:
         raise ValueError(f"no writer for {kind}")
+
+
+def safe_name(name: str, fallback: str = "table") -> str:
+    """A file name without separators, marks or control characters, of at most 100 characters."""
+    out = re.sub(r"[^\w가-힣.-]+", "_", name.strip()).strip("._")
+    return out[:100] or fallback
+
+
+def package(files: dict[str, bytes]) -> bytes:
+    """A zip archive of small finished files (reports, previews, schemas) under safe names; equal names are numbered. Tables are written as folders, never packed on the driver."""
+    out, taken = io.BytesIO(), set()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            stem, dot, ending = safe_name(name).rpartition(".")
+            at, n = safe_name(name), 2
+            while at in taken:
+                at, n = f"{stem or ending}_{n}{dot + ending if stem else ''}", n + 1
+            taken.add(at)
+            z.writestr(zipfile.ZipInfo(at, (1980, 1, 1, 0, 0, 0)), data)
+    return out.getvalue()
