@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -82,6 +84,12 @@ TERMS = (
 )
 ENDINGS = ("하기", "하고", "하며", "하여", "하는", "되는", "있는", "등이", "등을", "등에", "등의", "위한", "위하여", "대한", "통해", "또는", "거나", "가", "을", "를", "은", "는", "에", "의")
 
+# Where the prose score starts, what each measure adds to it or takes from it (sign, weight, at most), and the score of text without Hangul.
+PROSE_START, PROSE_LATIN = 0.18, 0.35
+PROSE = (("hangul", 1, 0.26, 0.26), ("terms", 1, 0.055, 0.32), ("endings", 1, 0.025, 0.18), ("lone", -1, 0.16, 0.16), ("special", -1, 0.5, 0.2), ("bare", -1, 0.16, 0.16))
+# Share of odd characters and prose score that call for a second look, confidences that settle it, and how few syllables are short.
+LOOK = {"special": 0.18, "latin": 0.55, "sure": 0.85, "few": 6, "prose": 0.52}
+
 
 def prose_quality(text: Column) -> Column:
     """0 to 1: how much a text looks like Korean prose, by its share of Hangul, known words, endings, lone syllables, noise and long words without an ending."""
@@ -93,12 +101,9 @@ def prose_quality(text: Column) -> Column:
     lone = F.size(F.filter(tokens, lambda w: w.rlike("^[가-힣]$"))) / F.greatest(F.size(tokens), F.lit(1))
     long = F.filter(tokens, lambda w: w.rlike("^[가-힣]{5,}$"))
     bare = F.size(F.filter(long, lambda w: ~w.rlike("|".join(ENDINGS)))) / F.greatest(F.size(long), F.lit(1))
-    cap = lambda x, top: F.least(x, F.lit(top))
-    score = (
-        F.lit(0.18) + cap(0.26 * hangul / F.greatest(solid, F.lit(1)), 0.26) + cap(0.055 * found(TERMS), 0.32) + cap(0.025 * found(ENDINGS), 0.18)
-        - cap(0.16 * lone, 0.16) - cap(0.5 * special_ratio(t), 0.2) - cap(0.16 * bare, 0.16)
-    )
-    plain = F.when(t.rlike("[A-Za-z0-9]"), F.lit(0.35)).otherwise(F.lit(0.0))
+    parts = {"hangul": hangul / F.greatest(solid, F.lit(1)), "terms": found(TERMS), "endings": found(ENDINGS), "lone": lone, "special": special_ratio(t), "bare": bare}
+    score = sum((F.lit(sign) * F.least(F.lit(weight) * parts[name], F.lit(most)) for name, sign, weight, most in PROSE), F.lit(PROSE_START))
+    plain = F.when(t.rlike("[A-Za-z0-9]"), F.lit(PROSE_LATIN)).otherwise(F.lit(0.0))
     return F.when(solid == 0, F.lit(0.0)).when(hangul == 0, plain).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
@@ -106,14 +111,20 @@ def needs_second_look(text: Column, confidence: Column) -> Column:
     t, c = F.trim(text), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
     hangul = F.regexp_count(t, F.lit(HANGUL))
     return (
-        F.when((t == "") | F.contains(t, F.lit("�")) | (special_ratio(t) >= 0.18), F.lit(True)).when(hangul == 0, c < 0.55)
-        .when((c >= 0.85) & (hangul < 6), F.lit(False)).otherwise(prose_quality(t) < 0.52)
+        F.when((t == "") | F.contains(t, F.lit("�")) | (special_ratio(t) >= LOOK["special"]), F.lit(True)).when(hangul == 0, c < LOOK["latin"])
+        .when((c >= LOOK["sure"]) & (hangul < LOOK["few"]), F.lit(False)).otherwise(prose_quality(t) < LOOK["prose"])
     )
 
 
+@F.pandas_udf(T.StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Canonical composition (NFC); no built-in composes characters."""
+    return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def normalised(text: Column, keep_spaces: bool = True) -> Column:
-    """Line ends as LF, no control characters; with keep_spaces off, runs of blanks are one and blank lines at most one."""
-    out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), INVALID, "")
+    """Composed characters, line ends as LF, no control characters; with keep_spaces off, runs of blanks are one and blank lines at most one."""
+    out = F.regexp_replace(F.regexp_replace(composed(text), "\r\n?", "\n"), INVALID, "")
     if not keep_spaces:
         out = F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n")
     return out
@@ -132,9 +143,14 @@ def redacted(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)([?&](?:serviceKey|apiKey|token|signature)=)[^&\s]+", "$1[REDACTED]")
 
 
-def coverage(source: Column, kept: Column) -> Column:
-    """Share of the source's characters, white space aside, that the other text has too, each as often as both have it."""
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: ~x.rlike(r"^\s*$"))
-    a, b = letters(source), letters(kept)
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(common / F.size(a))
+@F.pandas_udf(T.DoubleType())
+def coverage(source: pd.Series, kept: pd.Series) -> pd.Series:
+    """Share of the source's characters, white space aside, that the other text has too, each as often as both have it. Characters are counted once a side."""
+
+    def one(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        x, y = Counter("".join(a.split())), Counter(b)
+        return sum(min(n, y[c]) for c, n in x.items()) / x.total() if x else 1.0
+
+    return pd.Series([one(a, b) for a, b in zip(source, kept)], dtype="float64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +77,35 @@ def list_faults(items: list[tuple[str, str]]) -> list[str]:
     return out
 
 
+def replacement_faults(df: DataFrame, original: str, replacement: str) -> DataFrame:
+    """(original, replacement, fault) of what is wrong with a table of replacements, a row a fault: repeated, blank, a form fault, leak (an original inside a replacement), overlap (one original inside another).
+
+    Originals inside other texts are found by an equi-join of the rarest three characters of each original (a shorter one is its own key) with
+    those at every place of the texts.
+    """
+    rows = df.select(F.col(original).cast("string").alias("original"), F.col(replacement).cast("string").alias("replacement"))
+    a, b = F.col("original"), F.col("replacement")
+    blank = a.isNull() | b.isNull() | (F.trim(a) == "") | (F.trim(b) == "") | (a == b) | F.coalesce(F.concat(a, b).rlike("[\r\n]"), F.lit(False))
+    form = F.when(blank, "blank").otherwise(format_fault(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    own = rows.withColumn("fault", form).where("fault IS NOT NULL")
+    repeated = rows.groupBy("original").agg(F.count("*").alias("n"), F.min("replacement").alias("replacement")).where("n > 1").select("original", "replacement", F.lit("repeated").alias("fault"))
+    def grams(text: str, widths: list[int]) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(F.array(*map(F.lit, widths)), lambda w: F.when(i + w - 1 <= F.length(text), F.substring(F.col(text), i, w))))
+        return F.explode(F.array_distinct(F.array_compact(F.flatten(each))))
+
+    originals = rows.where(F.length(a) > 0).select(a.alias("needle")).distinct()
+    long = originals.where(F.length("needle") >= 3).select("needle", grams("needle", [3]).alias("k"))
+    often = long.groupBy("k").agg(F.count("*").alias("often"))
+    needles = long.join(often, "k").groupBy("needle").agg(F.min_by("k", F.struct("often", "k")).alias("k")).unionByName(originals.where(F.length("needle") < 3).select("needle", F.col("needle").alias("k")))
+
+    def inside(text: str, fault: str) -> DataFrame:
+        spread = rows.where(F.length(text) > 0).select("original", "replacement", F.col(text).alias("_text"), grams(text, [1, 2, 3]).alias("k"))
+        hit = spread.join(needles, "k").where(F.contains("_text", F.col("needle")) & ((F.col("needle") != F.col("_text")) | F.lit(fault == "leak")))
+        return hit.select("original", "replacement").distinct().withColumn("fault", F.lit(fault))
+
+    return own.unionByName(repeated).unionByName(inside("replacement", "leak")).unionByName(inside("original", "overlap"))
+
+
 @F.pandas_udf(T.StringType())
 def detection_view(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else view(t))

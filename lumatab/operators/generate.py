@@ -111,21 +111,24 @@ def dummy_table(spark: SparkSession, rows: int, columns: dict[str, dict[str, Any
 def bootstrap(df: DataFrame, rows: int, order: list[str], seed: int = 42, salt: str = "boot") -> DataFrame:
     """`rows` rows of df drawn with replacement, with `row_id`.
 
-    Rows are numbered by a hash in ranges whose sizes are known, so that numbering is no single sorted window.
+    Rows are numbered by a hash in ranges whose sizes are known, so that numbering is no single sorted window. A row that is drawn often makes no
+    task large: the numbers are joined on.
     """
     numbered, n = _numbered(df, order, seed)
     draws = df.sparkSession.range(rows).withColumnRenamed("id", "row_id").withColumn("_pick", F.floor(uniform(F.col("row_id"), seed, salt) * n).cast("bigint"))
     return draws.join(numbered, draws["_pick"] == numbered["_n"]).select("row_id", *df.columns)
 
 
-def _numbered(df: DataFrame, order: list[str], seed: int, parts: int = 256) -> tuple[DataFrame, int]:
-    """df with `_n` from 0 in the order of a hash of `order`, and its number of rows."""
-    hashed = df.withColumn("_h", F.xxhash64(*order, F.lit(seed))).withColumn("_part", F.pmod("_h", F.lit(parts)))
+def _numbered(df: DataFrame, order: list[str], seed: int) -> tuple[DataFrame, int]:
+    """df with `_n` from 0 in the order of an md5 of `order`, and its number of rows. A range of digests is about the square root of the rows, so no task sorts many."""
+    n = df.count()
+    digits = max(1, min(6, math.ceil(math.log(max(n, 2), 16) / 2)))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in order), F.lit(str(seed))))).withColumn("_part", F.substring("_h", 1, digits))
     sizes = hashed.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # at most `parts` rows
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row a range
     place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", *order))
-    out = hashed.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("_n", F.col("_before") + F.col("_place") - 1)
-    return out.drop("_h", "_part", "_place", "_before"), df.count()
+    out = hashed.withColumn("_place", place).join(before, "_part").withColumn("_n", F.col("_before") + F.col("_place") - 1)
+    return out.drop("_h", "_part", "_place", "_before"), n
 
 
 def marginal_sample(df: DataFrame, rows: int, categorical: list[str], numerical: list[str], conditions: dict[str, Any] | None = None, seed: int = 42, steps: int = 200) -> DataFrame:
@@ -139,12 +142,19 @@ def marginal_sample(df: DataFrame, rows: int, categorical: list[str], numerical:
         source = source.where(F.col(c).cast("string") == str(v))
     out = df.sparkSession.range(rows).withColumnRenamed("id", "row_id")
     for c in categorical:
-        counts = source.groupBy(c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(F.desc("n"), F.asc_nulls_first(c)).rowsBetween(Window.unboundedPreceding, 0))
-        shares = counts.select(F.col(c), (upto / F.sum("n").over(Window.partitionBy())).alias("_to"), ((upto - F.col("n")) / F.sum("n").over(Window.partitionBy())).alias("_from"))
+        counts = source.groupBy(c).agg(F.count("*").alias("n")).withColumn("_h", F.md5(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+        size = counts.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
+        # running counts by ranges of digests: no task orders all values
+        part = F.substring("_h", 1, max(1, min(6, math.ceil(math.log(max(size["values"], 2), 16) / 2))))
+        sums = counts.groupBy(part.alias("_part")).agg(F.sum("n").alias("_s"))
+        before = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_before"))
+        inner = Window.partitionBy("_part").orderBy("_h", F.asc_nulls_first(c)).rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("_part", part).withColumn("_w", F.sum("n").over(inner)).join(before, "_part").withColumn("_upto", F.col("_before") + F.col("_w"))
+        total = float(size["rows"] or 1)
+        shares = upto.select(F.col(c), (F.col("_upto") / total).alias("_to"), ((F.col("_upto") - F.col("n")) / total).alias("_from"))
         drawn = out.select("row_id", uniform(F.col("row_id"), seed, c).alias("_u"))
-        # equal slots of the unit interval make the range join an equi-join
-        slots = 1024
+        # equal slots of the unit interval, as many as there are values, make the range join an equi-join
+        slots = max(1024, size["values"])
         spread = shares.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_from") * slots), F.least(F.floor(F.col("_to") * slots), F.lit(slots - 1).cast("bigint")))))
         drawn = drawn.withColumn("_slot", F.floor(F.col("_u") * slots)).join(spread, "_slot").where((F.col("_u") > F.col("_from")) & (F.col("_u") <= F.col("_to"))).select("row_id", c)
         out = out.join(drawn, "row_id", "left")
@@ -186,7 +196,7 @@ def relational_sample(tables: dict[str, DataFrame], links: list[Relationship], k
         rows = sizes[name] = max(1, int(total * scale))
         mine = [r for r in links if r.child_table == name]
         fixed = {keys.get(name), *(r.child_key for r in mine)}
-        drawn = bootstrap(df, rows, df.columns, seed, f"rel:{name}")
+        drawn = bootstrap(df, rows, [keys[name]] if keys.get(name) else df.columns, seed, f"rel:{name}")
         numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in fixed]
         if numeric:
             stats = df.agg(*(x for c in numeric for x in (F.stddev(c).alias(f"s_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")))).first()  # two numbers a column
@@ -213,7 +223,7 @@ def panel_sample(df: DataFrame, entity: str, time: str, entities: int | None = N
     out = drawn.join(rows, F.col("_old") == F.col(entity))
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != entity]
     stats = df.agg(*(F.stddev(c).alias(c) for c in numeric)).first() if numeric else {}  # one number a column
-    key = F.xxhash64("row_id", F.col(time), *numeric)
+    key = F.concat_ws(":", "row_id", F.unix_micros(F.col(time).cast("timestamp")))
     put = {c: F.col(c) + normal(key, seed, c) * (noise * stats[c]) for c in numeric if stats[c]}
     put[time] = F.col(time).cast("timestamp") + F.make_dt_interval(F.col("_shift"))
     put[entity] = F.concat(F.lit("SYN-"), F.lpad((F.col("row_id") + 1).cast("string"), 6, "0"))
@@ -263,11 +273,53 @@ def accepted_sample(original: DataFrame, draw, rows: int, columns: list[str], ac
 
 
 def holdout(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, at_least: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(fit, control): a hashed fifth is set aside before anything is fitted, if there are enough rows."""
-    if df.limit(at_least).count() < at_least:
+    """(fit, control): a share of the rows, rounded down, in the order of a hash, is set aside before anything is fitted, if there are enough rows."""
+    numbered, n = _numbered(df, [key], seed)
+    if n < at_least:
         return df, df.limit(0)
-    out = uniform(F.col(key), seed, "holdout") < share
-    return df.where(~out), df.where(out)
+    return numbered.where(F.col("_n") >= int(share * n)).drop("_n"), numbered.where(F.col("_n") < int(share * n)).drop("_n")
+
+
+# Area codes by the beginning of a region's name.
+AREA_CODES = {
+    "서울": "02", "경기": "031", "인천": "032", "강원": "033", "충남": "041", "충청남": "041", "대전": "042", "충북": "043", "충청북": "043", "세종": "044", "부산": "051", "울산": "052", "대구": "053", "경북": "054", "경상북": "054",
+    "경남": "055", "경상남": "055", "전남": "061", "전라남": "061", "광주": "062", "전북": "063", "전라북": "063", "제주": "064",
+}
+GIVEN_NAMES = {"female": (["서", "지", "하", "예"], ["연", "은", "아", "윤"]), "male": (["민", "도", "준", "시"], ["준", "우", "호", "현"])}
+
+
+def fake_people(df: DataFrame, columns: dict[str, str], key: str, as_of: str, age: str | None = None, gender: str | None = None, region: str | None = None, seed: int = 42) -> DataFrame:
+    """df with made-up values that agree with each row: columns maps a column to ssn, phone, name, or any other kind of fake_values.
+
+    An ssn's birth year is the row's age before the date `as_of`, its seventh digit goes by century and gender; a landline's area code goes by
+    region (mobile where it is unknown); a given name by gender. Without a context value the draw is free.
+    """
+    u = lambda c, salt: uniform(F.col(key), seed, f"{c}:{salt}")
+    digits = lambda n, c, salt: F.lpad(F.floor(u(c, salt) * 10**n).cast("string"), n, "0")
+    pick = lambda words, c, salt: F.element_at(F.array(*map(F.lit, words)), (F.floor(u(c, salt) * len(words)) + 1).cast("int"))
+    said = F.lower(F.trim(F.col(gender).cast("string"))) if gender else F.lit(None).cast("string")
+    female, male = said.isin("f", "female", "여", "여성", "여자"), said.isin("m", "male", "남", "남성", "남자")
+    for c, kind in columns.items():
+        woman = F.when(female, True).when(male, False).otherwise(u(c, "g") < 0.5)
+        if kind == "ssn":
+            years = F.col(age).try_cast("int") if age else F.lit(None).cast("int")
+            years = F.when((years >= 0) & (years <= 120), years).otherwise(F.floor(u(c, "y") * 60).cast("int") + 18)
+            # a birthday in the year before the date, so that the age is reached and the next one is not
+            day = F.date_add(F.add_months(F.lit(as_of).cast("date"), -12 * years), -F.floor(u(c, "d") * 365).cast("int"))
+            mark = F.when(F.year(day) < 2000, F.when(woman, "2").otherwise("1")).otherwise(F.when(woman, "4").otherwise("3"))
+            df = df.withColumn(c, F.concat(F.date_format(day, "yyMMdd"), F.lit("-"), mark, digits(6, c, "n")))
+        elif kind == "phone":
+            place = F.trim(F.col(region).cast("string")) if region else F.lit(None).cast("string")
+            code = F.lit("010")
+            for start, area in AREA_CODES.items():
+                code = F.when(place.startswith(start), area).otherwise(code)
+            df = df.withColumn(c, F.concat(code, F.lit("-"), F.when(code == "010", digits(4, c, "a")).otherwise(F.concat((F.floor(u(c, "a") * 8) + 2).cast("string"), digits(2, c, "b"))), F.lit("-"), digits(4, c, "e")))
+        elif kind == "name":
+            given = {k: F.concat(pick(a, c, "a"), pick(b, c, "b")) for k, (a, b) in GIVEN_NAMES.items()}
+            df = df.withColumn(c, F.concat(pick(["김", "이", "박", "최", "정", "강", "조", "윤"], c, "s"), F.when(woman, given["female"]).otherwise(given["male"])))
+        else:
+            df = fake_values(df.drop(c), kind, c, key, seed)
+    return df
 
 
 def fake_values(df: DataFrame, kind: str, column: str, key: str, seed: int = 42) -> DataFrame:

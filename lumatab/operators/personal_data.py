@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumatab.functions import masking
 from lumatab.plans.model import ColumnPlan
@@ -76,14 +78,8 @@ ORGANIZATION_ENDINGS = (
 )
 
 
-def entities(df: DataFrame, id_col: str, text: str, ignored: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kind, entity, start, stop) of persons, organisations and places in Korean text, in character offsets.
-
-    A name counts only with a label before it or a title after it, never inside an organisation. Offsets need
-    look-around and overlap tests inside one text, so this is one Arrow pass over the rows.
-    """
-    import pyarrow as pa
-
+def _finder(ignored: tuple[str, ...] = ()):
+    """A function from a text to its (kind, entity, start, stop), in order."""
     long_first = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
     edge, gap = r"(?<![가-힣\w])", r"[^\S\r\n]*"
     labelled = re.compile(rf"{edge}(?:{long_first(NAME_PREFIXES)}){gap}[:：]{gap}(?P<name>[가-힣]{{2,4}})(?![가-힣])")
@@ -101,6 +97,19 @@ def entities(df: DataFrame, id_col: str, text: str, ignored: tuple[str, ...] = (
         out += [("PERSON_NAME", w, a, b) for (a, b), w in names.items() if not w.endswith(ORGANIZATION_ENDINGS) and not any(a < y and b > x for x, y, _ in orgs)]
         return sorted((e for e in out if e[1].casefold() not in skip), key=lambda e: e[2:])
 
+    return found
+
+
+def entities(df: DataFrame, id_col: str, text: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kind, entity, start, stop) of persons, organisations and places in Korean text, in character offsets.
+
+    A name counts only with a label before it or a title after it, never inside an organisation. Offsets need
+    look-around and overlap tests inside one text, so this is one Arrow pass over the rows.
+    """
+    import pyarrow as pa
+
+    found = _finder(ignored)
+
     def run(batches):
         for b in batches:
             rows = [(k, *e) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in found(t)]
@@ -109,3 +118,26 @@ def entities(df: DataFrame, id_col: str, text: str, ignored: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "kind", "entity", "start", "stop"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, kind string, entity string, start int, stop int")
+
+
+def _hangul_name(name: str) -> str:
+    """As masking.name masks a name of syllables."""
+    shown = 2 if len(name) > 2 and name.startswith(masking.COMPOUND_SURNAMES) else 1
+    if len(name) == 2:
+        return name if name.startswith(masking.COMPOUND_SURNAMES) else name[0] + "*"
+    hidden = max(1, len(name) - shown - 1)
+    return name[:shown] + "*" * hidden + name[shown + hidden :]
+
+
+@F.pandas_udf(T.StringType())
+def names_masked(text: pd.Series) -> pd.Series:
+    """Persons' names masked where they stand in their context, and nowhere else: `masking.inline(text, names_masked)` masks all of a text."""
+    found = _finder()
+
+    def masked(t: str | None) -> str | None:
+        for kind, name, a, b in reversed(found(t)):
+            if kind == "PERSON_NAME":
+                t = t[:a] + _hangul_name(name) + t[b:]
+        return t
+
+    return text.map(masked)

@@ -112,8 +112,8 @@ def _next_float(x: Column, up: bool) -> Column:
 
 
 def uniform(key: Column, seed: int, salt: str) -> Column:
-    """A number in (0, 1) from a row's key: the same whatever the partitions."""
-    return (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) from 52 bits of an md5 of a row's key: the same whatever the partitions, and whatever engine."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(salt))), 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
 
 
 def apply_rule(df: DataFrame, rule: Rule, reference: DataFrame | None = None, key: str | None = None, seed: int = 42) -> DataFrame:

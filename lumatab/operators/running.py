@@ -14,17 +14,30 @@ def part_of(value: Column, cuts: list[float], first: int = 0) -> Column:
     return F.when(value <= cuts[mid], part_of(value, cuts[:mid], first)).otherwise(part_of(value, cuts[mid + 1 :], first + mid + 1))
 
 
-def running_totals(df: DataFrame, group: str, order: str, totals: dict[str, str], following: str | None = None, parts: int = 64) -> DataFrame:
+def _range_of(value: Column, cuts: list[float], width: int = 64) -> Column:
+    """How many cuts lie below a value. Many cuts are looked up in two steps: a tree over every `width`-th one, then a count in the list between two of them."""
+    if len(cuts) <= width:
+        return part_of(value, cuts)
+    tops = cuts[width - 1 :: width]
+    lists = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    top = part_of(value, tops)
+    return top * width + F.size(F.filter(F.coalesce(F.get(F.lit(lists), top), F.array().cast("array<double>")), lambda c: c < value))
+
+
+def running_totals(df: DataFrame, group: str, order: str, totals: dict[str, str], following: str | None = None, parts: int | None = None, part_rows: int = 250_000) -> DataFrame:
     """df, one row per (group, order), with running sums: totals maps a new column to the one it adds up, its own row included.
 
     With `following` a column of that name has the group's next larger value, null for the last. Groups are
-    few (columns of a table). The order is cut into ranges at approximate quantiles, `parts` numbers a group;
-    a window is one range, and what lies before it comes from a table of groups x ranges.
+    few (columns of a table). The order is cut into ranges at approximate quantiles, as many that one has about `part_rows`
+    rows (64 to 4,096 a group); a window is one range, and what lies before it comes from a table of groups x ranges.
     """
-    cuts = {r[group]: sorted(set(r["c"] or [])) for r in df.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("c")).collect()}
+    if parts is None:
+        largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        parts = min(4096, max(64, largest // part_rows))
+    cuts = {r[group]: sorted(set(r["c"] or [])) for r in df.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], max(1000, 8 * parts)).alias("c")).collect()}
     part = F.lit(0)
     for name, at in cuts.items():
-        part = F.when(F.col(group) == name, part_of(F.col(order), at)).otherwise(part)
+        part = F.when(F.col(group) == name, _range_of(F.col(order), at)).otherwise(part)
     cut = df.withColumn("_part", part)
     sums = cut.groupBy(group, "_part").agg(F.min(order).alias("_first"), *(F.sum(v).alias(f"_s_{k}") for k, v in totals.items()))
     earlier = Window.partitionBy(group).orderBy("_part")

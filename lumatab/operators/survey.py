@@ -81,6 +81,25 @@ def fuse(modules: dict[str, DataFrame], key: str, common: list[str] | None = Non
     return reduce(lambda a, b: a.join(b, key), parts)
 
 
+def inspect(modules: dict[str, DataFrame], key: str) -> DataFrame:
+    """(module, rows, columns, common, missing_keys, aligned): whether each module has the first one's keys, each once, with the same values in the common columns."""
+    names = list(modules)
+    if not names:
+        raise ValueError("no modules")
+    shared = [c for c in modules[names[0]].columns if c != key and all(c in m.columns for m in modules.values())]
+    first = modules[names[0]].select(key, *(F.col(c).alias(f"_f_{c}") for c in shared)).withColumn("_in_first", F.lit(True))
+    rows = []
+    for name in names:
+        df = modules[name]
+        both = df.select(key, *shared).withColumn("_in", F.lit(True)).join(first, key, "full_outer")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in shared), F.lit(True))
+        found = both.agg(F.count_if(F.col("_in").isNull()).alias("missing_keys"), F.count_if(F.col("_in").isNull() | F.col("_in_first").isNull() | ~same).alias("odd"), F.count_if("_in").alias("pairs"))
+        size = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"))
+        one = size.join(found, how="cross")  # one row each
+        rows.append(one.select(F.lit(name).alias("module"), "rows", F.lit(len(df.columns)).alias("columns"), F.lit(",".join(shared)).alias("common"), "missing_keys", ((F.col("odd") == 0) & (F.col("rows") == F.col("keys")) & (F.col("pairs") == F.col("rows"))).alias("aligned")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def split(fused: DataFrame, modules: list[str], key: str) -> dict[str, DataFrame]:
     """The modules of a fused table, each with the common columns."""
     common = [c for c in fused.columns if c != key and "__" not in c]
