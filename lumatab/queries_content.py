@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from lumatab.functions import masking, text_quality
 from lumatab.operators import disclosure, generate, personal_data, survey
 from lumatab.plans.model import ColumnPlan, Relationship
 from lumatab.queries import SQL, query, rounded, table, union
-from lumatab.sources import json_paths, writers
+from lumatab.sources import json_paths, readers, writers
 from lumatab.streaming.observe import windowed_observations
 
 # --- masks ----------------------------------------------------------------------------------------------------
@@ -76,12 +76,40 @@ def _(spark, sf):
     return personal_data.replacements(table(spark, sf, "documents"), "text", _KINDS).select("kind", "found", "n")
 
 
-@query("pii_scan")
+@query(
+    "pii_scan",
+    "SELECT 'c_name' AS column_name, 'name' AS kind, 'name' AS source, 0.0::DOUBLE AS share UNION ALL SELECT 'contact', 'email', 'value', avg(regexp_matches('user' || c_custkey || '@example.com', '^[^@]+@[^@]+[.][^@]+$')::INT) FROM customer UNION ALL SELECT unnest(['c_custkey', 'c_nationkey', 'c_acctbal', 'c_mktsegment']), NULL, NULL, 0.0",
+)
 def _(spark, sf):
     return personal_data.scan(table(spark, sf, "customer").withColumn("contact", F.concat(F.lit("user"), F.col("c_custkey").cast("string"), F.lit("@example.com"))))
 
 
-@query("named_entities")
+_PEOPLE = "['홍길동', '남궁민수', '김서연', '박준']"
+
+
+def notes(spark, sf):
+    """A sentence a customer: a labelled name, an organisation, a number of each kind, an address."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*map(F.lit, ["홍길동", "남궁민수", "김서연", "박준"])), (k % 4 + 1).cast("int"))
+    four = F.lpad((k % 10000).cast("string"), 4, "0")
+    note = F.concat(F.lit("담당자: "), name, F.lit(", 한국은행 소속. 전화 010-1234-"), four, F.lit(" 메일 user"), four, F.lit("@example.com 번호 900101-1 "), F.lit(", 카드 1234-5678-9012-"), four, F.lit(" 주소 서울시 중구 세종대로 "), (k % 100).cast("string"))
+    return table(spark, sf, "customer").select("c_custkey", note.alias("note"))
+
+
+@query("named_entities", f"SELECT c_custkey AS id, 'PERSON_NAME' AS kind, {_PEOPLE}[c_custkey % 4 + 1] AS entity, 5 AS start, 5 + length({_PEOPLE}[c_custkey % 4 + 1])::INT AS stop FROM customer UNION ALL SELECT c_custkey, 'ORGANIZATION', '한국은행', 7 + length({_PEOPLE}[c_custkey % 4 + 1])::INT, 11 + length({_PEOPLE}[c_custkey % 4 + 1])::INT FROM customer")
+def _(spark, sf):
+    return personal_data.entities(notes(spark, sf), "c_custkey", "note")
+
+
+@query(
+    "mask_full_text",
+    "SELECT c_custkey, '담당자: ' || ['홍*동', '남궁*수', '김*연', '박*'][c_custkey % 4 + 1] || ', 한국은행 소속. 전화 010-****-' || four || ' 메일 use*****@example.com 번호 900101-1 , 카드 1234-56**-****-' || four || ' 주소 서울시 중구 ********' AS masked FROM (SELECT c_custkey, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS four FROM customer)",
+)
+def _(spark, sf):
+    return notes(spark, sf).select("c_custkey", masking.inline(F.col("note"), personal_data.names_masked).alias("masked"))
+
+
+@query("entities_in_documents")
 def _(spark, sf):
     return personal_data.entities(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -129,7 +157,12 @@ def _(spark, sf):
     return rounded(table(spark, sf, "documents").select("doc_id", text_quality.share(t, text_quality.HANGUL).alias("hangul"), text_quality.share(t, "[0-9]").alias("digits"), text_quality.share(t, text_quality.UNKNOWN).alias("unknown")))
 
 
-@query("cer")
+@query("cer", "SELECT p_partkey, round(CASE WHEN p_name = '' THEN (p_type <> '')::INT::DOUBLE ELSE levenshtein(p_name, p_type) / length(p_name) END, 6) AS cer FROM part")
+def _(spark, sf):
+    return rounded(table(spark, sf, "part").select("p_partkey", text_quality.character_error_rate(F.col("p_name"), F.col("p_type")).cast("double").alias("cer")))
+
+
+@query("cer_turns")
 def _(spark, sf):
     return rounded(_turns(spark, sf).select("conv_id", "turn", text_quality.character_error_rate(F.col("before"), F.col("text")).cast("double").alias("cer")))
 
@@ -152,13 +185,21 @@ def _(spark, sf):
     return rounded(_turns(spark, sf).select("conv_id", "turn", text_quality.coverage(F.col("before"), F.col("text")).cast("double").alias("coverage")))
 
 
-@query("text_quality")
+_KNOWN = "".join("\\" + c if c in "[]\\^-/" else c for c in text_quality.PUNCTUATION).replace("'", "''")
+
+
+@query(
+    "text_quality",
+    f"""WITH t AS (SELECT doc_id, text, trim(text, ' ') AS t, regexp_replace(text, '[\\s\\x0B\\x85\\p{{Z}}]', '', 'g') AS solid, string_split(text, '') AS c FROM documents)
+    SELECT doc_id, round(coalesce(len(regexp_extract_all(solid, '[^\\p{{L}}\\p{{N}}_{_KNOWN}]')) / nullif(length(solid), 0), 0), 6) AS special, round(coalesce(len(list_filter(range(3, len(c) + 1), lambda i: c[i] = c[i - 1] AND c[i] = c[i - 2])) / nullif(length(text), 0), 0), 6) AS repeated,
+    CASE WHEN length(solid) > 0 AND regexp_matches(t, '[A-Za-z0-9]') THEN 0.35::DOUBLE ELSE 0 END AS prose, t = '' OR (length(t) >= 8 AND (NOT regexp_matches(t, '[가-힣A-Za-z0-9]') OR length(regexp_replace(t, '[.\\-_=~·ㆍ…\\s]', '', 'g')) <= 1)) AS noise FROM t""",
+)
 def _(spark, sf):
     t = F.col("text")
     return rounded(table(spark, sf, "documents").select("doc_id", text_quality.special_ratio(t).alias("special"), text_quality.repeated(t).alias("repeated"), text_quality.prose_quality(t).alias("prose"), text_quality.is_noise(t).alias("noise")))
 
 
-@query("normalised_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS cleaned FROM documents")
+@query("normalised_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS cleaned FROM (SELECT doc_id, nfc_normalize(text) AS text FROM documents)")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text_quality.normalised(F.col("text"), keep_spaces=False)).alias("cleaned"))
 
@@ -204,11 +245,45 @@ def _(spark, sf):
     return writers.xml_records(table(spark, sf, "nation").select("n_nationkey", "n_name"))
 
 
-@query("envelope_pages")
+@query(
+    "envelope_pages",
+    """SELECT floor(n_nationkey / 10)::BIGINT AS page_no, '{"response":{"header":{"resultMsg":"NORMAL_CODE","resultCode":"00"},"body":{"totalCount":' || (SELECT count(*) FROM nation) || ',"pageNo":' || floor(n_nationkey / 10)::BIGINT || ',"numOfRows":' || count(*) || ',"items":['
+    || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}', ',' ORDER BY n_nationkey) || ']}}}' AS body FROM nation GROUP BY 1""",
+)
 def _(spark, sf):
     return writers.envelope_pages(table(spark, sf, "nation"), "n_nationkey", 10)
 
 
+def _folder(spark) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, on one machine only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lumatab-")
+    return f"{base.rstrip('/')}/lumatab/{spark.sparkContext.applicationId}/trip-{uuid.uuid4().hex}"
+
+
+def _trip(kind: str):
+    """Orders written in a format and read back by the dispatcher, as text columns."""
+
+    def run(spark, sf):
+        path = f"{_folder(spark)}.{kind}"
+        df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat(F.col("o_orderstatus"), F.lit(' "é", <'), F.col("o_orderpriority"), F.lit(">")).alias("label"))
+        writers.write_table(df, path, kind)
+        back = readers.load_table(spark, path)
+        if kind == "xml":
+            cell = lambda name: F.element_at(F.filter("field", lambda x: x["_name"] == name), 1)["_VALUE"]
+            back = back.select(*(cell(c).alias(c) for c in df.columns))
+        return back.select(*(F.col(c).cast("string") for c in df.columns))
+
+    return run
+
+
+for _kind in ("csv", "tsv", "json", "jsonl", "parquet", "xml"):
+    query(f"round_trip_{_kind}", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus || ' \"é\", <' || o_orderpriority || '>' AS label FROM orders")(_trip(_kind))
+
+
 @query("frame_checksum", "SELECT count(*) AS rows, CAST(sum(('0x' || substr(sha256(length(CAST(n_nationkey AS VARCHAR)) || ':' || n_nationkey || '|' || length(n_name) || ':' || n_name), 1, 15))::BIGINT::HUGEINT) AS VARCHAR) AS checksum FROM nation")
 def _(spark, sf):
     return writers.checksum(table(spark, sf, "nation").select("n_nationkey", "n_name"))
@@ -270,9 +345,43 @@ def _(spark, sf):
 # --- made-up tables -------------------------------------------------------------------------------------------
 
 
-@query("marginal_sample")
+def draw_sql(key: str, salt: str, seed: int = 42) -> str:
+    """A draw of (0, 1) as its specification has it: 52 bits of the md5 of key, seed and salt."""
+    return f"((('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}:{salt}'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def normal_sql(key: str, salt: str, seed: int = 42) -> str:
+    return f"(sqrt(-2 * ln({draw_sql(key, salt + ':r', seed)})) * cos(2 * pi() * {draw_sql(key, salt + ':a', seed)}))"
+
+
+def numbered_sql(table_name: str, key: str, seed: int = 42) -> str:
+    """Rows numbered from 0 in the order of the md5 of key and seed."""
+    return f"SELECT *, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR) || ':{seed}'), {key}) - 1 AS _n FROM {table_name}"
+
+
+def drawn_category_sql(source: str, column: str, rows: int) -> str:
+    """(row_id, column): values whose cumulated shares, in the order of their md5, hold the draw."""
+    return f"""SELECT row_id, {column} FROM (SELECT range AS row_id, {draw_sql('range', column)} AS u FROM range({rows})) AS d JOIN (SELECT {column}, n, sum(n) OVER (ORDER BY md5({column}), {column}) AS upto, sum(n) OVER () AS total
+    FROM (SELECT {column}, count(*) AS n FROM {source} GROUP BY 1)) AS s ON u > (upto - n)::DOUBLE / total::DOUBLE AND u <= upto::DOUBLE / total::DOUBLE"""
+
+
+def between_sql(grid: str, draw: str, steps: int = 200) -> str:
+    low = f"least(floor({draw} * {steps}), {steps - 1})::INT"
+    return f"({grid}[{low} + 1] + ({draw} * {steps} - {low}) * ({grid}[{low} + 2] - {grid}[{low} + 1]))"
+
+
+
+
+GRID = "[" + ", ".join(repr(i / 200) for i in range(201)) + "]"
+
+
+@query(
+    "marginal_sample",
+    f"""WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'O'), g AS (SELECT quantile_cont(o_totalprice, {GRID}) AS q FROM o)
+    SELECT row_id, 'O' AS o_orderstatus, o_orderpriority, round({between_sql('q', draw_sql('row_id', 'o_totalprice'))}, 4) AS o_totalprice FROM ({drawn_category_sql('o', 'o_orderpriority', 1000)}), g""",
+)
 def _(spark, sf):
-    return generate.marginal_sample(table(spark, sf, "orders"), 1000, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], {"o_orderstatus": "O"})
+    return rounded(generate.marginal_sample(table(spark, sf, "orders"), 1000, ["o_orderstatus", "o_orderpriority"], ["o_totalprice"], {"o_orderstatus": "O"}), 4)
 
 
 @query("copula_sample")
@@ -280,23 +389,45 @@ def _(spark, sf):
     return generate.copula_sample(table(spark, sf, "lineitem"), 1000, ["l_quantity", "l_extendedprice", "l_discount"])
 
 
-@query("bootstrap")
+@query("bootstrap", f"SELECT row_id, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT range AS row_id, floor({draw_sql('range', 'boot')} * (SELECT count(*) FROM customer))::BIGINT AS pick FROM range(1000)) JOIN ({numbered_sql('customer', 'c_custkey')}) ON pick = _n")
 def _(spark, sf):
     return generate.bootstrap(table(spark, sf, "customer"), 1000, ["c_custkey"])
 
 
-@query("relational_sample")
+@query(
+    "relational_sample",
+    f"""WITH n AS (SELECT greatest(1, floor((SELECT count(*) FROM customer) * 0.5)::BIGINT) AS a, greatest(1, floor((SELECT count(*) FROM orders) * 0.5)::BIGINT) AS b),
+    c AS (SELECT range + 1 AS c_custkey, c_mktsegment FROM range((SELECT a FROM n)) JOIN ({numbered_sql('customer', 'c_custkey')}) ON floor({draw_sql('range', 'rel:customer')} * (SELECT count(*) FROM customer))::BIGINT = _n),
+    o AS (SELECT range AS row_id, o_totalprice FROM range((SELECT b FROM n)) JOIN ({numbered_sql('orders', 'o_orderkey')}) ON floor({draw_sql('range', 'rel:orders')} * (SELECT count(*) FROM orders))::BIGINT = _n),
+    m AS (SELECT row_id + 1 AS o_orderkey, floor({draw_sql('row_id', 'orders.o_custkey')} * (SELECT a FROM n))::BIGINT + 1 AS o_custkey, round(o_totalprice + {normal_sql('row_id', 'orders.o_totalprice')} * 0.05 * (SELECT stddev(o_totalprice) FROM orders), 2) AS o_totalprice FROM o)
+    SELECT o_orderkey, o_custkey, c_mktsegment, round(o_totalprice, 1) AS o_totalprice FROM m JOIN c ON o_custkey = c_custkey""",
+)
 def _(spark, sf):
     made = generate.relational_sample({"customer": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, [Relationship("customer", "orders", "c_custkey", "o_custkey")], {"customer": "c_custkey", "orders": "o_orderkey"}, 0.5)
-    return made["orders"].join(made["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment", "o_totalprice")
+    return made["orders"].join(made["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment", F.round("o_totalprice", 1).alias("o_totalprice"))
 
 
-@query("panel_bootstrap")
+@query(
+    "panel_bootstrap",
+    f"""WITH e AS (SELECT * FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), w AS (SELECT DISTINCT user_id FROM e), k AS (SELECT count(*) AS k FROM w),
+    d AS (SELECT range AS row_id, user_id AS old, (floor({draw_sql('range', 'shift')} * 731) - 365)::INT AS days FROM range((SELECT k FROM k)) JOIN ({numbered_sql('w', 'user_id')}) ON floor({draw_sql('range', 'panel')} * (SELECT k FROM k))::BIGINT = _n)
+    SELECT 'SYN-' || lpad((row_id + 1)::VARCHAR, 6, '0') AS user_id, ts + to_days(days) AS ts, event_type, round(value + {normal_sql("(row_id || ':' || epoch_us(ts))", 'value')} * (0.03 * (SELECT stddev(value) FROM events)), 4) AS value FROM d JOIN e ON old = user_id""",
+)
 def _(spark, sf):
-    return generate.panel_sample(table(spark, sf, "events").select("user_id", "ts", "event_type", "value"), "user_id", "ts")
+    return rounded(generate.panel_sample(table(spark, sf, "events").select("user_id", "ts", "event_type", "value"), "user_id", "ts"), 4)
+
 
+def _pattern_sql(form: str, column: str) -> str:
+    draw = lambda i: draw_sql("row_id", f"{column}:{i}")
+    return " || ".join(f"floor({draw(i)} * 10)::INT::VARCHAR" if c == "#" else f"chr(65 + floor({draw(i)} * 26)::INT)" if c == "?" else f"'{c}'" for i, c in enumerate(form))
 
-@query("dummy_columns")
+
+@query(
+    "dummy_columns",
+    f"""WITH t AS (SELECT range AS row_id, * FROM range(1000)), p AS (SELECT row_id, {_pattern_sql('??-####', 'code')} AS code FROM t), u AS (SELECT row_id, code || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY row_id) AS k FROM p))
+    SELECT row_id, CASE WHEN row_id = 0 THEN '' ELSE code END AS code, CASE WHEN row_id = 0 THEN '' WHEN {draw_sql('row_id', 'city')} <= 0.5 THEN 'a' WHEN {draw_sql('row_id', 'city')} <= 0.8 THEN 'b' ELSE 'c' END AS city, 'N' || (10 + row_id * 5) AS no,
+    CASE row_id WHEN 0 THEN 1.2::DOUBLE WHEN 1 THEN 4.8::DOUBLE ELSE (2 + floor({draw_sql('row_id', 'amount')} * 3))::DOUBLE END AS amount, strftime(DATE '2024-01-01' + floor({draw_sql('row_id', 'day')} * 366)::INT, '%Y-%m-%d') AS day, 'x' AS fixed FROM u""",
+)
 def _(spark, sf):
     spec = {
         "code": {"type": "pattern", "format": "??-####", "unique": True}, "city": {"type": "choice", "values": ["a", "b", "c"], "weights": [5, 3, 2]}, "no": {"type": "sequence", "prefix": "N", "start": 10, "step": 5},
@@ -305,9 +436,13 @@ def _(spark, sf):
     return generate.dummy_table(spark, 1000, spec, scenario="boundary")
 
 
-@query("laplace_noise")
+@query(
+    "laplace_noise",
+    f"""WITH s AS (SELECT (quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)) / sqrt(count(*)) AS b FROM customer), u AS (SELECT c_custkey, c_acctbal, {draw_sql('c_custkey', 'c_acctbal')} - 0.5 AS u FROM customer)
+    SELECT c_custkey, round(c_acctbal - b * sign(u) * ln(1 - 2 * abs(u)), 6) AS c_acctbal FROM u, s""",
+)
 def _(spark, sf):
-    return generate.laplace_noise(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], "c_custkey")
+    return rounded(generate.laplace_noise(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], "c_custkey"))
 
 
 @query("accepted_sample")
@@ -317,13 +452,35 @@ def _(spark, sf):
     return generate.accepted_sample(orders, draw, 500, ["o_orderstatus", "o_orderpriority", "o_totalprice"], F.col("o_totalprice") > 50000)
 
 
-@query("holdout_split")
+@query("holdout_split", f"SELECT c_custkey, CASE WHEN _n < (SELECT floor(count(*) * 0.2) FROM customer) THEN 'control' ELSE 'fit' END AS part FROM ({numbered_sql('customer', 'c_custkey')})")
 def _(spark, sf):
     fit, control = generate.holdout(table(spark, sf, "customer"), "c_custkey")
     return fit.select("c_custkey", F.lit("fit").alias("part")).unionByName(control.select("c_custkey", F.lit("control").alias("part")))
 
 
-@query("fake_values")
+def _digits_sql(column: str, n: int, salt: str) -> str:
+    return f"lpad(floor({draw_sql('c_custkey', f'{column}:{salt}')} * {10**n})::BIGINT::VARCHAR, {n}, '0')"
+
+
+def _pick_sql(column: str, words: list[str], salt: str) -> str:
+    return f"[{', '.join(repr(w) for w in words)}][floor({draw_sql('c_custkey', f'{column}:{salt}')} * {len(words)})::INT + 1]"
+
+
+_FAKE = {
+    "name": " || ".join(_pick_sql("name", w.split(), s) for w, s in (("김 이 박 최 정 강 조 윤", "s"), ("민 서 지 하 도 예", "a"), ("준 연 우 은 호 아", "b"))),
+    "phone": f"'010-' || {_digits_sql('phone', 4, 'a')} || '-' || {_digits_sql('phone', 4, 'b')}",
+    "email": f"'user' || {_digits_sql('email', 6, 'a')} || '@example.' || {_pick_sql('email', ['com', 'net', 'org'], 'd')}",
+    "ssn": f"strftime(DATE '1950-01-01' + floor({draw_sql('c_custkey', 'd')} * 18250)::INT, '%y%m%d') || '-' || {_pick_sql('ssn', ['1', '2'], 'g')} || {_digits_sql('ssn', 6, 'a')}",
+    "account": " || '-' || ".join(_digits_sql("account", n, s) for n, s in ((3, "a"), (4, "b"), (6, "c"))),
+    "credit_card": " || '-' || ".join(_digits_sql("credit_card", 4, s) for s in "abcd"),
+    "business_number": " || '-' || ".join(_digits_sql("business_number", n, s) for n, s in ((3, "a"), (2, "b"), (5, "c"))),
+    "ip_address": f"'192.0.2.' || floor({draw_sql('c_custkey', 'ip')} * 256)::INT",
+    "car_plate": f"{_digits_sql('car_plate', 2, 'a')} || {_pick_sql('car_plate', ['가', '나', '다', '라', '마'], 'h')} || ' ' || {_digits_sql('car_plate', 4, 'b')}",
+    "address": f"{_pick_sql('address', ['서울특별시 중구', '부산광역시 남구', '대전광역시 서구'], 'c')} || ' ' || {_pick_sql('address', ['중앙로', '시청로', '공원로'], 'r')} || ' ' || {_digits_sql('address', 2, 'n')}",
+}
+
+
+@query("fake_values", "SELECT c_custkey, " + ", ".join(f"{v} AS {k}" for k, v in _FAKE.items()) + " FROM customer")
 def _(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey")
     for kind in ("name", "phone", "email", "ssn", "account", "credit_card", "business_number", "ip_address", "car_plate", "address"):
@@ -331,6 +488,32 @@ def _(spark, sf):
     return df
 
 
+_REGIONS = {"서울": "02", "경기": "031", "부산": "051", "제주": "064"}
+
+
+@query(
+    "fake_people",
+    f"""WITH c AS (SELECT c_custkey, (c_custkey % 90)::INT AS age, CASE WHEN c_custkey % 3 = 0 THEN '여' WHEN c_custkey % 3 = 1 THEN 'M' END AS gender, ['서울시', '경기도', '부산', '제주도', 'elsewhere'][c_custkey % 5 + 1] AS region FROM customer),
+    d AS (SELECT *, CASE WHEN gender = '여' THEN true WHEN gender = 'M' THEN false ELSE {draw_sql('c_custkey', 'ssn:g')} < 0.5 END AS woman, (DATE '2024-06-30' - to_months(12 * age))::DATE - floor({draw_sql('c_custkey', 'ssn:d')} * 365)::INT AS day,
+    CASE c_custkey % 5 WHEN 0 THEN '02' WHEN 1 THEN '031' WHEN 2 THEN '051' WHEN 3 THEN '064' ELSE '010' END AS code FROM c)
+    SELECT c_custkey, age, gender, region, strftime(day, '%y%m%d') || '-' || CASE WHEN year(day) < 2000 THEN CASE WHEN woman THEN '2' ELSE '1' END ELSE CASE WHEN woman THEN '4' ELSE '3' END END || {_digits_sql('ssn', 6, 'n')} AS ssn,
+    code || '-' || CASE WHEN code = '010' THEN {_digits_sql('phone', 4, 'a')} ELSE (floor({draw_sql('c_custkey', 'phone:a')} * 8) + 2)::INT::VARCHAR || {_digits_sql('phone', 2, 'b')} END || '-' || {_digits_sql('phone', 4, 'e')} AS phone FROM d""",
+)
+def _(spark, sf):
+    k = F.col("c_custkey")
+    people = table(spark, sf, "customer").select(
+        k, (k % 90).cast("int").alias("age"), F.when(k % 3 == 0, "여").when(k % 3 == 1, "M").alias("gender"), F.element_at(F.array(*map(F.lit, ["서울시", "경기도", "부산", "제주도", "elsewhere"])), (k % 5 + 1).cast("int")).alias("region")
+    )
+    return generate.fake_people(people, {"ssn": "ssn", "phone": "phone"}, "c_custkey", "2024-06-30", "age", "gender", "region")
+
+
+@query("survey_inspect", "SELECT * FROM (SELECT 'first' AS module, count(*) AS rows, 3 AS columns, 'c_nationkey' AS common, 0::BIGINT AS missing_keys, true AS aligned FROM customer UNION ALL SELECT 'second', count(*), 3, 'c_nationkey', 0, true FROM customer UNION ALL SELECT 'third', count(*) FILTER (c_custkey % 7 <> 0), 2, 'c_nationkey', count(*) FILTER (c_custkey % 7 = 0), false FROM customer)")
+def _(spark, sf):
+    a = table(spark, sf, "customer")
+    third = a.where("c_custkey % 7 <> 0").select("c_custkey", "c_nationkey")
+    return survey.inspect({"first": a.select("c_custkey", "c_nationkey", "c_mktsegment"), "second": a.select("c_custkey", "c_nationkey", "c_acctbal"), "third": third}, "c_custkey")
+
+
 @query("without_clones", "SELECT s_nationkey AS c_nationkey, s_acctbal AS c_acctbal FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey IS NOT DISTINCT FROM s_nationkey AND c_acctbal IS NOT DISTINCT FROM s_acctbal)")
 def _(spark, sf):
     mine = table(spark, sf, "supplier").selectExpr("s_nationkey AS c_nationkey", "s_acctbal AS c_acctbal")

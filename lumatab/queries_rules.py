@@ -8,6 +8,7 @@ from lumatab.operators import rules
 from lumatab.plans.model import Rule, RuleKind
 from lumatab.plans.rule_graph import resolve
 from lumatab.queries import query, rounded, table, union
+from lumatab.queries_content import GRID, draw_sql
 
 _PREDICATES = [
     ("p_is_null", "o_orderpriority", "is_null", None, False, "o_orderpriority IS NULL"),
@@ -141,7 +142,17 @@ def _(spark, sf):
     return df.select("o_orderkey", *(rules.moment(df, c).alias(c) for c in "abc"))
 
 
-@query("date_order_repair")
+_LAG = "(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0::DOUBLE"
+
+
+@query(
+    "date_order_repair",
+    f"""WITH j AS ({_JOIN}), g AS (SELECT quantile_cont(lag, {GRID}) AS q, quantile_cont(lag, 0.995) AS top FROM (SELECT {_LAG} AS lag FROM j) WHERE lag > 0),
+    s AS (SELECT l_orderkey, l_linenumber, o_orderdate, CASE WHEN l_linenumber = 1 THEN o_orderdate - to_days(400) ELSE l_shipdate END AS l_shipdate, {draw_sql("(l_orderkey || ':' || l_linenumber)", 'lag:o_orderdate:l_shipdate')} * 200 AS pos FROM j),
+    e AS (SELECT *, least(q[floor(pos)::INT + 1], top) AS lo, least(q[least(floor(pos)::INT + 1, 200) + 1], top) AS hi FROM s, g),
+    d AS (SELECT *, greatest(1, round_even(round(greatest(lo + (pos - floor(pos)) * (hi - lo), 1), 3), 0))::INT AS days FROM e)
+    SELECT l_orderkey, l_linenumber, o_orderdate, CASE WHEN l_shipdate < o_orderdate THEN o_orderdate + to_days(days) ELSE l_shipdate END AS l_shipdate FROM d""",
+)
 def _(spark, sf):
     df = _joined(spark, sf).withColumn("row_key", F.concat_ws(":", "l_orderkey", "l_linenumber"))
     swapped = df.withColumn("l_shipdate", F.when(F.col("l_linenumber") == 1, F.col("o_orderdate") - F.make_dt_interval(F.lit(400))).otherwise(F.col("l_shipdate")))
@@ -195,9 +206,10 @@ def _(spark, sf):
     return rules.discover_orders(table(spark, sf, "lineitem"), _NUMS)
 
 
-@query("discover_date_orders", _orders_sql(_JOIN, ["l_shipdate", "o_orderdate"], False))
+@query("discover_date_orders", _orders_sql(f"SELECT *, l_shipdate + to_days(l_linenumber) AS received FROM ({_JOIN})", ["l_shipdate", "o_orderdate", "received"], False))
 def _(spark, sf):
-    return rules.discover_orders(_joined(spark, sf), ["l_shipdate", "o_orderdate"], dates=True)
+    df = _joined(spark, sf).withColumn("received", F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber")))
+    return rules.discover_orders(df, ["l_shipdate", "o_orderdate", "received"], dates=True)
 
 
 _HOLED = "SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS closed_price, CASE WHEN o_orderstatus = 'O' OR o_totalprice > 200000 THEN NULL ELSE o_custkey END AS closed_by FROM orders"

@@ -8,6 +8,7 @@ from lumatab.functions import masking, text_rules
 from lumatab.operators import assess, disclosure, generate, shape
 from lumatab.plans.model import ColumnPlan, Relationship
 from lumatab.queries import CAT, NUM, SQL, _v_sql, halves, query, rounded, table
+from lumatab.queries_content import draw_sql, drawn_category_sql, notes, numbered_sql
 from lumatab.sources import documents, json_paths
 
 PLAN = ColumnPlan(tuple(CAT), tuple(NUM))
@@ -73,7 +74,7 @@ def _(spark, sf):
 def _(spark, sf):
     a, b = halves(spark, sf)
     columns = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
-    keyed = b.withColumn("row_key", F.xxhash64(*b.columns)).select("row_key", *columns)
+    keyed = b.withColumn("row_key", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")).select("row_key", *columns)
     return disclosure.escape_copies(a, keyed, "row_key", columns)
 
 
@@ -93,33 +94,77 @@ def _(spark, sf):
     return shape.search_terms(terms, "A", initial="A-Z").select("p_partkey", "name")
 
 
-@query("json_attention", f"SELECT path, 'may_be_derived' AS note, NULL::DOUBLE AS share FROM ({SQL['json_path_stats']}) WHERE regexp_matches(lower(path), '(avg|mean|sum|total|ratio|rate)') AND scalars > 0")
+@query(
+    "json_attention",
+    "SELECT '/total_price' AS path, 'may_be_derived' AS note, NULL::DOUBLE AS share UNION ALL SELECT '/status', 'may_be_flag', NULL UNION ALL SELECT '/note', 'missing', (SELECT round(count(*) FILTER (o_orderkey % 3 <> 1) / count(*), 6) FROM orders)",
+)
+def _(spark, sf):
+    """Notes: a name of a sum, a name of a flag, and a field that is absent or empty in two rows of three."""
+    key = F.col("o_orderkey")
+    note = F.when(key % 3 == 0, F.lit("")).otherwise(F.lit(',"note":""'))
+    text = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"total_price":1.5,"status":"x"'), F.when(key % 3 == 1, F.lit(',"note":"seen"')).otherwise(note), F.lit("}"))
+    return assess.attention(json_paths.path_statistics(table(spark, sf, "orders").select(text.alias("body")), "body"))
+
+
+@query(
+    "embedded_records",
+    """SELECT o_orderkey AS id, 0 AS document_no, 'json' AS kind, 'meta' AS part, NULL::INT AS record_no, 'totalCount' AS field, '2' AS value, 'integer' AS value_kind FROM orders
+    UNION ALL SELECT o_orderkey, 0, 'json', 'record', i, f, CASE f WHEN 'key' THEN (o_orderkey + i)::VARCHAR ELSE o_orderstatus END, CASE f WHEN 'key' THEN 'integer' ELSE 'string' END FROM orders, (VALUES (0), (1)) AS r(i), (VALUES ('key'), ('status')) AS c(f)
+    UNION ALL SELECT o_orderkey, 1, 'xml', 'record', i, f, CASE f WHEN 'day' THEN '2024-01-0' || (i + 1) ELSE o_orderkey || '.5' END, CASE f WHEN 'day' THEN 'date' ELSE 'number' END FROM orders, (VALUES (0), (1)) AS r(i), (VALUES ('day'), ('price')) AS c(f)""",
+)
 def _(spark, sf):
-    return assess.attention(json_paths.path_statistics(table(spark, sf, "events"), "props"))
+    """Two documents inside a sentence, after brackets that are none and before one that is cut off."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    item = lambda i: F.concat(F.lit('{"key":'), (key + i).cast("string"), F.lit(',"status":"'), status, F.lit('"}'))
+    row = lambda i: F.concat(F.lit(f"<row><day>2024-01-0{i + 1}</day><price>"), key.cast("string"), F.lit(".5</price></row>"))
+    text = F.concat(F.lit('see [1] {not json} {"totalCount":2,"items":['), item(0), F.lit(","), item(1), F.lit("]} and <p>then <rows>"), row(0), row(1), F.lit('</rows> and {"cut":['))
+    return documents.embedded_cells(table(spark, sf, "orders").select("o_orderkey", text.alias("body")), "o_orderkey", "body")
 
 
-@query("embedded_records")
+@query("embedded_in_pages")
 def _(spark, sf):
     return documents.embedded_cells(table(spark, sf, "pages"), "page_id", "html")
 
 
-@query("mask_with_whitelist")
+@query(
+    "mask_with_whitelist",
+    "SELECT c_custkey, '담당자: ' || ['홍길동', '남궁민수', '김서연', '박준'][c_custkey % 4 + 1] || ', 한국은행 소속. 전화 010-****-' || four || ' 메일 ' || CASE WHEN four IN ('0001', '0010') THEN 'user' || four ELSE 'use*****' END || '@example.com 번호 900101-1 , 카드 1234-56**-****-' || four || ' 주소 서울시 중구 ********' AS masked FROM (SELECT c_custkey, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS four FROM customer)",
+)
+def _(spark, sf):
+    return notes(spark, sf).select("c_custkey", masking.inline_except(F.col("note"), ["USER0001@example.com", "user0010@example.com"]).alias("masked"))
+
+
+@query("whitelist_in_documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(masking.inline_except(F.col("text"), ["example.com", "license"])).alias("masked"))
 
 
-@query("detection_view")
+@query("detection_view", "SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[\\t\\x0B\\x0C\\x{A0}]', ' ', 'g'), '[‐‑‒–−－]', '-', 'g') AS seen FROM conversations")
 def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text_rules.detection_view("text").alias("seen"))
 
 
-@query("format_faults")
+@query("format_faults", "SELECT c_custkey, [NULL, 'literal', 'length', 'digit', 'case'][c_custkey % 5 + 1] AS fault FROM customer")
 def _(spark, sf):
-    df = table(spark, sf, "customer")
-    return df.select("c_custkey", text_rules.format_fault("c_name", masking.generic(F.col("c_name"))).alias("fault"))
+    """Replacements of Customer#000000001: itself, with its mark starred, cut, with letters for digits, and in lower case."""
+    name = F.col("c_name")
+    put = F.element_at(F.array(name, F.translate(name, "#", "*"), F.substring(name, 1, 5), F.translate(name, "0123456789", "abcdefghij"), F.lower(name)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", text_rules.format_fault("c_name", put).alias("fault"))
 
 
-@query("dummy_tables")
+@query(
+    "replacement_faults",
+    """SELECT 'Order ' || o_orderkey AS original, 'Order ' || o_orderkey AS replacement, 'blank' AS fault FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 'Order ' || o_orderkey, 'Xrder', 'length' FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT 'Order ' || o_orderkey, 'Order ' || o_orderkey, 'leak' FROM orders WHERE o_orderkey % 4 = 0
+    UNION ALL SELECT DISTINCT 'Order ' || b.o_orderkey, CASE b.o_orderkey % 4 WHEN 0 THEN 'Order ' || b.o_orderkey WHEN 1 THEN 'Xrder' ELSE 'Xxxxx ' || repeat('1', length(b.o_orderkey::VARCHAR)) END, 'overlap' FROM orders AS b JOIN orders AS a ON a.o_orderkey <> b.o_orderkey AND starts_with(b.o_orderkey::VARCHAR, a.o_orderkey::VARCHAR)""",
+)
+def _(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("Order "), key)
+    put = F.when(F.col("o_orderkey") % 4 == 0, name).when(F.col("o_orderkey") % 4 == 1, F.lit("Xrder")).otherwise(F.concat(F.lit("Xxxxx "), F.repeat(F.lit("1"), F.length(key))))
+    return text_rules.replacement_faults(table(spark, sf, "orders").select(name.alias("a"), put.alias("b")), "a", "b")
+
+
+@query("dummy_tables", f"SELECT range AS row_id, (range + 1)::VARCHAR AS order_id, (1000 + floor({draw_sql('range', 'amount')} * 999001))::BIGINT AS amount, 'U' || (floor({draw_sql('range', 'orders.user_id')} * 100)::BIGINT + 1) AS user_id FROM range(300)")
 def _(spark, sf):
     made = generate.dummy_tables(
         spark, {"users": (100, {"user_id": {"type": "sequence", "prefix": "U"}}), "orders": (300, {"order_id": {"type": "sequence"}, "user_id": {"type": "constant", "value": ""}, "amount": shape.infer_domain("order_amount")[1]})},
@@ -128,7 +173,10 @@ def _(spark, sf):
     return made["orders"]
 
 
-@query("repeated_output")
+@query(
+    "repeated_output",
+    f"SELECT m.row_id, o_orderstatus, c_name FROM ({drawn_category_sql('orders', 'o_orderstatus', 500)}) AS m JOIN ({numbered_sql('customer', 'c_custkey')}) ON m.row_id % (SELECT count(*) FROM customer) = _n",
+)
 def _(spark, sf):
     made = generate.marginal_sample(table(spark, sf, "orders"), 500, ["o_orderstatus"], [])
     return generate.repeated_output(made, table(spark, sf, "customer"), ["c_name"], "row_id", ["c_custkey"])
