@@ -31,10 +31,15 @@ def running_totals(df: DataFrame, group: str, order: str, totals: dict[str, str]
     few (columns of a table). The order is cut into ranges at approximate quantiles, as many that one has about `part_rows`
     rows (64 to 4,096 a group); a window is one range, and what lies before it comes from a table of groups x ranges.
     """
-    if parts is None:
-        largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        parts = min(4096, max(64, largest // part_rows))
-    cuts = {r[group]: sorted(set(r["c"] or [])) for r in df.groupBy(group).agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], max(1000, 8 * parts)).alias("c")).collect()}
+    def found(k: int):
+        at = F.percentile_approx(order, [i / k for i in range(1, k)], max(1000, 8 * k))
+        return df.groupBy(group).agg(F.count("*").alias("n"), at.alias("c")).collect()  # a row a group
+
+    rows = found(parts or 64)
+    largest = max((r["n"] for r in rows), default=0) // part_rows
+    if parts is None and largest > 64:
+        rows = found(min(4096, largest))
+    cuts = {r[group]: sorted(set(r["c"] or [])) for r in rows}
     part = F.lit(0)
     for name, at in cuts.items():
         part = F.when(F.col(group) == name, _range_of(F.col(order), at)).otherwise(part)
