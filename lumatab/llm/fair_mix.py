@@ -74,7 +74,7 @@ def expand(groups: DataFrame, count: str, number: str, chunk: int = 1 << 16) ->
 def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, taken, passes, mix_source) per row; passes says how often the mix takes it. The columns in keep follow as _keep_0, _keep_1, ..."""
     with shared.steps(docs.sparkSession) as tables:
-        return shared.written(_queue(tables, docs, id_col, text_col, source_col, weights, max_passes, keep), "mix-queue")[0]
+        return shared.written(_queue(tables, docs, id_col, text_col, source_col, weights, max_passes, keep).drop("_order_"), "mix-queue")[0]
 
 
 def _queue(tables: shared.Steps, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], max_passes: int, keep: tuple[str, ...]) -> DataFrame:
@@ -143,26 +143,39 @@ def _taken(placed: DataFrame, bits: int, max_passes: int, id_col: str, kept: lis
                 below = below | ((F.floor(f * bins) == F.lit(first["bin"])) & (at <= cut))
             taken.append(F.coalesce(below, F.lit(False)))
     passes = sum((t.cast("bigint") for t in taken), F.lit(0).cast("bigint"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), F.col("source").alias("mix_source"), *kept)
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * passes).alias("taken"), passes.alias("passes"), F.col("source").alias("mix_source"), *kept, F.col("key").alias("_order_"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns.
 
-    The queue runs on ids, sizes and row hashes; whole rows are shuffled once, to meet their number of passes.
-    Fully equal rows are one row, taken as often as all of them.
+    Within a source each pass takes the rows up to a last one, in the shuffled order. So the queue, which runs on ids, sizes and
+    row hashes, comes down to a last row a source and pass, and every row's passes follow from its own place: whole rows are not
+    shuffled. Only of fully equal rows can the cut take some and leave some; a last row that has equals is taken apart, as
+    one row that goes as often as all of them.
     """
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row, text = F.xxhash64(*columns), F.col(text_col).cast("string")
+    lasts = [f"last_{p}" for p in range(max_passes)]
     with shared.steps(docs.sparkSession) as tables:
         got = _queue(tables, docs.withColumn("_row_", row), id_col, text_col, source_col, weights, max_passes, ("_row_",))
-        per = got.groupBy(F.struct(F.col(id_col).alias("id"), F.col("_keep_0").alias("row")).alias("_key_")).agg(F.sum("passes").alias("_all_"), F.count("*").alias("_equal_"))
-        per = shared.written(per.where("_all_ > 0"), "mix-passes")[0]
-    keyed = docs.withColumn("_key_", F.struct(F.col(id_col).alias("id"), row.alias("row"))).join(per, "_key_")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = keyed.where("_equal_ = 1").select(*columns, "_all_")
-    if not per.where("_equal_ > 1").isEmpty():
-        out = out.unionByName(keyed.where("_equal_ > 1").select(*columns, "_all_").distinct())  # combined before the shuffle
-    return out.withColumn("_turn_", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_all_")))).select(*columns)
+        got = got.where("passes > 0").select("mix_source", F.struct(F.col("_order_").alias("key"), F.col(id_col).alias("id"), F.col("_keep_0").alias("row")).alias("place"), "passes")
+        ends = shared.written(got.groupBy("mix_source").agg(*(F.max(F.when(F.col("passes") > p, F.col("place"))).alias(c) for p, c in enumerate(lasts))), "mix-ends")[0]
+        edges = ends.select(F.col("mix_source").alias("edge_source"), F.explode(F.array_distinct(F.array_compact(F.array(*lasts)))).alias("edge"))
+        at_edge = got.join(edges, F.col("mix_source").eqNullSafe(F.col("edge_source")) & (F.col("place") == F.col("edge")))
+        equal = at_edge.groupBy("edge_source", "edge").agg(F.sum("passes").alias("all"), F.count("*").alias("rows"))
+        equal = shared.written(equal.where("rows > 1"), "mix-equal")[0]
+    place = F.struct(order_key(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), row.alias("row"))
+    placed = docs.where(text.rlike(WORDS)).select(F.struct(*columns).alias("doc"), F.col(source_col).cast("string").alias("source"), place.alias("place"))
+    passes = sum((F.when(F.col("place") <= F.col(c), 1).otherwise(0) for c in lasts), F.lit(0)).cast("bigint")
+    inner = placed.join(ends, F.col("source").eqNullSafe(F.col("mix_source")))
+    if equal.isEmpty():
+        out = inner.select("doc", passes.alias("passes"))
+    else:
+        same = F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("place") == F.col("edge"))
+        out = inner.join(equal, same, "left_anti").select("doc", passes.alias("passes"))
+        out = out.unionByName(placed.join(equal, same).select("doc", F.col("all").alias("passes")).distinct())  # combined before the shuffle
+    return out.where("passes > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes")))).select("doc.*")
 
 
 SQL = """

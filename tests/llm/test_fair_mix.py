@@ -74,6 +74,24 @@ def test_mixed_rows_add_up(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_rows_are_those_of_the_queue(spark, seed):
+    """Equal rows at a last place, rows alike but for another column, null ids and sources, texts without words, and columns with the names of steps."""
+    r = random.Random(seed)
+    rows = [(r.choice([None, 1, 2, 3]), r.choice([None, "", " ", "a b c", "d e", "f " * 7]), r.choice(["x", "y", None]), r.choice([None, "a", "b", "c"]), r.choice([1, 2])) for _ in range(300)]
+    rows += [(9, "the same " * 3, "x", s, 0) for s in (None, "a", "b") for _ in range(60)] + [(i, "w " * r.randint(1, 9), "x", r.choice("abc"), 0) for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "place").withColumnRenamed("n_chars", "passes")
+    whole = F.xxhash64(*docs.columns)
+    queued = fair_mix.queue(docs.withColumn("whole", whole), keep=("whole",)).collect()
+    want: dict = {}
+    for q in queued:
+        if q.passes:
+            want[q.doc_id, q["_keep_0"]] = want.get((q.doc_id, q["_keep_0"]), 0) + q.passes
+    mixed = fair_mix.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {(x.doc_id, x.whole): x["count"] for x in mixed.groupBy("doc_id", whole.alias("whole")).count().collect()} == want
+
+
 def test_one_id_on_a_third_of_the_rows(spark):
     """A null id with different texts is spread over buckets; with one text it is one group before anything is shuffled."""
     r = random.Random(2)
