@@ -104,6 +104,59 @@ def evaluate(original: DataFrame, derived: DataFrame, plan: ColumnPlan, quasi: l
     return tall.unionByName(last)
 
 
+#: Metric, area, whether lower is better, limit, penalty beyond it, penalty where it was not measured, and when it
+#: must be measured ("always", "asked": where a row for it is there, "free").
+CHECKS = (
+    ("singling_out_risk", "privacy", True, 0.05, 15, 0, "always"),
+    ("linkability_risk", "privacy", True, 0.05, 15, 0, "always"),
+    ("inference_risk", "privacy", True, 0.05, 15, 0, "always"),
+    ("memorization_risk_rate", "privacy", True, 0.05, 10, 0, "always"),
+    ("inference_advantage", "privacy", True, 0.05, 10, 0, "asked"),
+    ("subspace_pass", "privacy", False, 1.0, 10, 10, "asked"),
+    ("composite", "quality", False, 0.8, 15, 15, "always"),
+    ("correlation", "quality", False, 0.7, 10, 0, "free"),
+    ("pmse_ratio", "quality", True, 3.0, 10, 0, "free"),
+    ("spearman_score", "quality", False, 0.8, 10, 0, "free"),
+    ("significant_preservation_rate", "quality", False, 0.8, 10, 0, "free"),
+)
+ATTACKS = ("singling_out_risk", "linkability_risk", "inference_risk")
+
+
+def assessment_checks(found: DataFrame, numerical: bool = True, quality_limit: float = 0.8) -> DataFrame:
+    """(metric, area, value, threshold, state, penalty), a row a check, from (metric, value).
+
+    state is ok, issue or unmeasured; a check that need not be measured and was not is ok. Of several rows of one metric the largest value
+    counts; without numbers in the plan (`numerical`) distances need not be measured.
+    """
+    checks = [(m, a, low, quality_limit if m == "composite" else limit, p, q, "free" if m == "memorization_risk_rate" and not numerical else need) for m, a, low, limit, p, q, need in CHECKS]
+    table = found.sparkSession.createDataFrame(checks, "metric string, area string, low boolean, threshold double, beyond int, blank int, need string")
+    finite = F.when(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    given = found.groupBy("metric").agg(F.max(finite).alias("value"), F.lit(True).alias("asked"))
+    both = table.join(given, "metric", "left")  # a row a check
+    bad = F.when(F.col("low"), F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
+    wanted = (F.col("need") == "always") | ((F.col("need") == "asked") & F.coalesce("asked", F.lit(False)))
+    state = F.when(F.col("value").isNull(), F.when(wanted, "unmeasured").otherwise("ok")).when(bad, "issue").otherwise("ok")
+    penalty = F.when(state == "issue", F.col("beyond")).when(state == "unmeasured", F.col("blank")).otherwise(0)
+    return both.select("metric", "area", "value", "threshold", state.alias("state"), penalty.alias("penalty"))
+
+
+def assessment(checks: DataFrame) -> DataFrame:
+    """One row over assessment_checks: score, privacy_ok, quality_ok, issues (their names), status.
+
+    The score is 100 less all penalties, and null unless the attacks and, where needed, the distances were measured. PASS needs every check
+    to be ok; FAIL needs measured attacks and a score below 60; anything else is REVIEW.
+    """
+    measured = F.bool_and(F.when(F.col("metric").isin(*ATTACKS), F.col("value").isNotNull()))
+    distances = F.bool_and(F.when(F.col("metric") == "memorization_risk_rate", F.col("state") != "unmeasured"))
+    fine = lambda area: F.bool_and(F.when(F.col("area") == area, F.col("state") == "ok"))
+    one = checks.agg(
+        F.greatest(F.lit(0), 100 - F.sum("penalty")).alias("points"), measured.alias("measured"), distances.alias("distances"), fine("privacy").alias("privacy_ok"), fine("quality").alias("quality_ok"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("state") != "ok", F.col("metric")))), ",").alias("issues"),
+    )
+    verdict = F.when(F.col("privacy_ok") & F.col("quality_ok"), "PASS").when(F.col("measured") & (F.col("points") < 60), "FAIL").otherwise("REVIEW")
+    return one.select(F.when(F.col("measured") & F.col("distances"), F.col("points")).alias("score"), "privacy_ok", "quality_ok", "issues", verdict.alias("status"))
+
+
 def leaderboard(original: DataFrame, candidates: dict[str, DataFrame | None], plan: ColumnPlan) -> DataFrame:
     """(place, candidate, distribution, correlation, score, status) by 0.6 (1 - JSD) + 0.4 correlation; failed candidates (None) last."""
     from pyspark.sql import Window

@@ -199,11 +199,12 @@ def distance_report(near: DataFrame) -> DataFrame:
     return both.select(r("median_dcr").alias("median_dcr"), r("min_dcr").alias("min_dcr"), r("dcr_5th").alias("dcr_5th_percentile"), r("raw_median").alias("raw_internal_dcr_median"), r("raw_5th").alias("raw_internal_dcr_5th_percentile"), r("nndr_median").alias("nndr_median"), r("nndr_risk").alias("nndr_risk_rate"), r(risk).alias("memorization_risk_rate"), status.alias("status"))
 
 
-def subspace_distance(original: DataFrame, derived: DataFrame, numerical: list[str], categorical: list[str], key: str, derived_key: str, sample: int = 500) -> DataFrame:
+def subspace_distance(original: DataFrame, derived: DataFrame, numerical: list[str], categorical: list[str], key: str, derived_key: str, sample: int = 500, holdout: DataFrame | None = None) -> DataFrame:
     """One row: distances in the space of quasi-identifiers of mixed kind.
 
     Numbers are scaled robustly by the original sample, missing ones stand at its median; categories are 0
-    or 1 apart; a distance is the root of the mean square over columns.
+    or 1 apart; a distance is the root of the mean square over columns. With holdout rows (of the original's columns), which
+    took no part in making the derived ones, a derived table less than half as far from the original as they are is REVIEW at best.
     """
     columns = [*numerical, *categorical]
     a, b = _sample(original, key, columns, numerical, sample), _sample(derived, derived_key, columns, numerical, sample)
@@ -214,7 +215,10 @@ def subspace_distance(original: DataFrame, derived: DataFrame, numerical: list[s
         every = _one_array(a, columns).join(F.broadcast(scale), how="cross")
     else:
         every = _one_array(a, columns)
-    rows = b.join(F.broadcast(every), how="cross")  # at most `sample` rows against one
+    b = b.withColumn("_made", F.lit(True))
+    if holdout is not None:
+        b = b.unionByName(_sample(holdout, key, columns, numerical, sample).withColumn("_made", F.lit(False)))
+    rows = b.join(F.broadcast(every), how="cross")  # at most 2 * `sample` rows against one
 
     def apart(o: Column) -> Column:
         gaps = []
@@ -225,10 +229,21 @@ def subspace_distance(original: DataFrame, derived: DataFrame, numerical: list[s
         return F.sqrt(reduce(lambda x, y: x + y, gaps) / len(columns))
 
     near = F.slice(F.array_sort(F.transform("_all", apart)), 1, 2)
-    rows = rows.select(near.alias("d")).select(F.get("d", F.lit(0)).alias("d1"), F.coalesce(F.get("d", F.lit(1)), F.lit(1.0)).alias("d2"))
-    ratio = F.col("d1") / F.greatest("d2", F.lit(1e-12))
-    found = rows.agg(F.percentile("d1", 0.05).alias("dcr_p05"), F.median("d1").alias("dcr_median"), F.percentile(ratio, 0.05).alias("nndr_p05"), F.median(ratio).alias("nndr_median"), F.avg((ratio < 0.2).cast("double")).alias("nndr_low_ratio"), F.avg((F.col("d1") <= 1e-12).cast("double")).alias("exact_qi_match_rate"))
-    status = F.when(F.col("dcr_median").isNull(), "NOT_EVALUATED").when((F.col("exact_qi_match_rate") > 0) | (F.col("dcr_p05") <= 1e-12) | (F.col("nndr_low_ratio") > 0.15), "FAIL").when(F.col("nndr_low_ratio") > 0.05, "REVIEW").otherwise("PASS")
+    d1, d2 = F.get("d", F.lit(0)), F.coalesce(F.get("d", F.lit(1)), F.lit(1.0))
+    made = lambda c: F.when(F.col("_made"), c)
+    kept = F.when(~F.col("_made"), F.col("d1"))
+    rows = rows.select("_made", near.alias("d")).select("_made", d1.alias("d1"), (d1 / F.greatest(d2, F.lit(1e-12))).alias("ratio"))
+    found = rows.agg(
+        F.percentile(made(F.col("d1")), 0.05).alias("dcr_p05"), F.median(made(F.col("d1"))).alias("dcr_median"), F.percentile(made(F.col("ratio")), 0.05).alias("nndr_p05"), F.median(made(F.col("ratio"))).alias("nndr_median"),
+        F.avg(made((F.col("ratio") < 0.2).cast("double"))).alias("nndr_low_ratio"), F.avg(made((F.col("d1") <= 1e-12).cast("double"))).alias("exact_qi_match_rate"),
+        *([F.median(kept).alias("holdout_dcr_median"), F.percentile(kept, 0.05).alias("holdout_dcr_p05")] if holdout is not None else []),
+    )
+    close = F.lit(False)
+    if holdout is not None:
+        risk = F.col("dcr_median") / F.greatest(F.col("holdout_dcr_median"), F.lit(1e-12))
+        found = found.withColumn("relative_privacy_risk", F.when(F.col("holdout_dcr_median").isNotNull(), risk))
+        close = F.coalesce(F.col("relative_privacy_risk") < 0.5, F.lit(False))
+    status = F.when(F.col("dcr_median").isNull(), "NOT_EVALUATED").when((F.col("exact_qi_match_rate") > 0) | (F.col("dcr_p05") <= 1e-12) | (F.col("nndr_low_ratio") > 0.15), "FAIL").when(close | (F.col("nndr_low_ratio") > 0.05), "REVIEW").otherwise("PASS")
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns), status.alias("status"))
 
 

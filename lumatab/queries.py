@@ -324,6 +324,24 @@ def _(spark, sf):
     return disclosure.subspace_distance(table(spark, sf, "customer"), _as_customers(spark, sf), ["c_acctbal"], ["c_nationkey"], "c_custkey", "id")
 
 
+@query(
+    "subspace_dcr_holdout",
+    """WITH a AS (SELECT c_acctbal AS x, CAST(c_nationkey AS VARCHAR) AS y FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY md5(CAST(c_custkey AS VARCHAR)), CAST(c_custkey AS VARCHAR) LIMIT 500),
+b AS ((SELECT 1 AS made, CAST(s_suppkey AS VARCHAR) AS id, s_acctbal AS x, CAST(s_nationkey AS VARCHAR) AS y FROM supplier ORDER BY md5(CAST(s_suppkey AS VARCHAR)), 2 LIMIT 500)
+    UNION ALL (SELECT 0, CAST(c_custkey AS VARCHAR), c_acctbal, CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY md5(CAST(c_custkey AS VARCHAR)), 2 LIMIT 500)),
+m AS (SELECT median(x) AS mid, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS q FROM a), sc AS (SELECT mid, greatest(q / 1.349, 1.4826 * (SELECT median(abs(x - mid)) FROM a, m), 1e-9) AS s FROM m),
+p AS (SELECT made, id, sqrt((((coalesce(b.x, mid) - coalesce(a.x, mid)) / s) * ((coalesce(b.x, mid) - coalesce(a.x, mid)) / s) + (a.y <> b.y)::INT::DOUBLE) / 2) AS d FROM a, b, sc),
+n AS (SELECT made, list_sort(list(d))[1] AS d1, coalesce(list_sort(list(d))[2], 1) AS d2 FROM p GROUP BY made, id),
+f AS (SELECT quantile_cont(d1, 0.05) AS a, median(d1) AS b, quantile_cont(d1 / greatest(d2, 1e-12), 0.05) AS c, median(d1 / greatest(d2, 1e-12)) AS d, avg((d1 / greatest(d2, 1e-12) < 0.2)::INT) AS e, avg((d1 <= 1e-12)::INT) AS g FROM n WHERE made = 1),
+h AS (SELECT median(d1) AS hm, quantile_cont(d1, 0.05) AS h5 FROM n WHERE made = 0)
+SELECT round(a, 6) AS dcr_p05, round(b, 6) AS dcr_median, round(c, 6) AS nndr_p05, round(d, 6) AS nndr_median, round(e, 6) AS nndr_low_ratio, round(g, 6) AS exact_qi_match_rate, round(hm, 6) AS holdout_dcr_median, round(h5, 6) AS holdout_dcr_p05, round(b / greatest(hm, 1e-12), 6) AS relative_privacy_risk,
+CASE WHEN g > 0 OR a <= 1e-12 OR e > 0.15 THEN 'FAIL' WHEN b / greatest(hm, 1e-12) < 0.5 OR e > 0.05 THEN 'REVIEW' ELSE 'PASS' END AS status FROM f, h""",
+)
+def _(spark, sf):
+    customers = table(spark, sf, "customer")
+    return disclosure.subspace_distance(customers.where("c_mktsegment <> 'BUILDING'"), _as_customers(spark, sf), ["c_acctbal"], ["c_nationkey"], "c_custkey", "id", holdout=customers.where("c_mktsegment = 'BUILDING'"))
+
+
 # --- fidelity -------------------------------------------------------------------------------------------------
 
 

@@ -53,6 +53,40 @@ def _(spark, sf):
     return rounded(assess.evaluate(a, b, PLAN, ["l_linenumber", "l_returnflag"], "l_discount", "row_key", "row_key"))
 
 
+def _measured(spark, sf):
+    """Metrics of the two halves of lineitem; attacks are not simulated."""
+    a, b = halves(spark, sf)
+    parts = [
+        assess.quality(a, b, PLAN).select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.round(c, 3).alias("value")) for c in ("composite", "correlation")))).alias("m")).select("m.*"),
+        disclosure.attribute_inference(a, b, ["l_linenumber", "l_quantity"], "l_discount").select(F.lit("inference_advantage").alias("metric"), F.col("inference_advantage").alias("value")),
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_CHECKS = f"""WITH v AS (SELECT round(composite, 3) AS composite, round(correlation, 3) AS correlation, (SELECT inference_advantage FROM ({SQL['cap']})) AS cap FROM ({_QUALITY})),
+c AS (SELECT 'singling_out_risk' AS metric, 'privacy' AS area, NULL::DOUBLE AS value, 0.05::DOUBLE AS threshold, 'unmeasured' AS state, 0 AS penalty UNION ALL SELECT 'linkability_risk', 'privacy', NULL, 0.05, 'unmeasured', 0
+    UNION ALL SELECT 'inference_risk', 'privacy', NULL, 0.05, 'unmeasured', 0 UNION ALL SELECT 'memorization_risk_rate', 'privacy', NULL, 0.05, 'unmeasured', 0
+    UNION ALL SELECT 'inference_advantage', 'privacy', cap, 0.05, CASE WHEN cap > 0.05 THEN 'issue' ELSE 'ok' END, CASE WHEN cap > 0.05 THEN 10 ELSE 0 END FROM v UNION ALL SELECT 'subspace_pass', 'privacy', NULL, 1, 'ok', 0
+    UNION ALL SELECT 'composite', 'quality', composite, 0.8, CASE WHEN composite < 0.8 THEN 'issue' ELSE 'ok' END, CASE WHEN composite < 0.8 THEN 15 ELSE 0 END FROM v
+    UNION ALL SELECT 'correlation', 'quality', correlation, 0.7, CASE WHEN correlation < 0.7 THEN 'issue' ELSE 'ok' END, CASE WHEN correlation < 0.7 THEN 10 ELSE 0 END FROM v
+    UNION ALL SELECT 'pmse_ratio', 'quality', NULL, 3, 'ok', 0 UNION ALL SELECT 'spearman_score', 'quality', NULL, 0.8, 'ok', 0 UNION ALL SELECT 'significant_preservation_rate', 'quality', NULL, 0.8, 'ok', 0)
+SELECT metric, area, value, threshold, state, penalty FROM c"""
+
+
+@query("assessment_checks", _CHECKS)
+def _(spark, sf):
+    return assess.assessment_checks(_measured(spark, sf))
+
+
+@query(
+    "assessment",
+    f"""SELECT NULL::INT AS score, bool_and(state = 'ok') FILTER (area = 'privacy') AS privacy_ok, bool_and(state = 'ok') FILTER (area = 'quality') AS quality_ok,
+    string_agg(metric, ',' ORDER BY metric) FILTER (state <> 'ok') AS issues, 'REVIEW' AS status FROM ({_CHECKS})""",
+)
+def _(spark, sf):
+    return assess.assessment(assess.assessment_checks(_measured(spark, sf))).withColumn("score", F.col("score").cast("int"))
+
+
 @query("leaderboard")
 def _(spark, sf):
     orders = table(spark, sf, "orders")

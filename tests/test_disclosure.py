@@ -55,6 +55,23 @@ def test_subspace_distance_finds_copies(spark):
     assert disclosure.subspace_distance(raw, raw.where("false"), ["age"], ["region"], "id", "id").first().status == "NOT_EVALUATED"
 
 
+def test_subspace_distance_against_a_holdout(spark):
+    kind = "id int, age double, region string"
+    raw = spark.createDataFrame([(i, float(10 * i), "a") for i in range(20)], kind)
+    near, far = (spark.createDataFrame([(i, 10.0 * i + gap, "a") for i in range(20)], kind) for gap in (1.5, 4.0))
+    empty = raw.where("false")
+    plain = disclosure.subspace_distance(raw, far, ["age"], ["region"], "id", "id").first()
+    assert plain.status == "PASS" and "relative_privacy_risk" not in plain.asDict()
+    got = disclosure.subspace_distance(raw, far, ["age"], ["region"], "id", "id", holdout=far).first()
+    assert got.relative_privacy_risk == 1.0 and got.status == "PASS" and got.holdout_dcr_median == got.dcr_median
+    off = spark.createDataFrame([(i, 10.0 * i + 4, "b") for i in range(20)], kind)
+    got = disclosure.subspace_distance(raw, far, ["age"], ["region"], "id", "id", holdout=off).first()
+    assert got.relative_privacy_risk < 0.5 and got.status == "REVIEW" and got.dcr_median == plain.dcr_median
+    assert disclosure.subspace_distance(raw, near, ["age"], ["region"], "id", "id", holdout=off).first().status == "FAIL"
+    got = disclosure.subspace_distance(raw, far, ["age"], ["region"], "id", "id", holdout=empty).first()
+    assert got.relative_privacy_risk is None and got.status == "PASS"
+
+
 def test_distances(spark):
     raw = spark.createDataFrame([(i, float(i)) for i in range(11)], "id int, x double")
     made = spark.createDataFrame([(1, 2.5), (2, 20.0)], "id int, x double")

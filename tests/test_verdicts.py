@@ -21,6 +21,26 @@ def test_status(spark):
     assert [r[0] for r in df.select(assess.status(F.col("v"), 0.05, 0.2)).collect()] == ["PASS", "REVIEW", "FAIL", "REVIEW", "REVIEW", "REVIEW"]
 
 
+def test_assessment(spark):
+    """Scores, issues and status, worked out by hand from the penalties."""
+    good = {"singling_out_risk": 0.01, "linkability_risk": 0.0, "inference_risk": 0.05, "memorization_risk_rate": 0.05, "composite": 0.8}
+
+    def verdict(metrics, numerical=True):
+        found = spark.createDataFrame([*metrics.items()], "metric string, value double")
+        return tuple(assess.assessment(assess.assessment_checks(found, numerical)).first())
+
+    assert verdict(good) == (100, True, True, "", "PASS")
+    assert verdict(good | {"correlation": 0.69, "pmse_ratio": 3.0, "spearman_score": None}) == (90, True, False, "correlation", "REVIEW")
+    assert verdict(good | {"composite": math.nan}) == (85, True, False, "composite", "REVIEW")
+    assert verdict({k: v for k, v in good.items() if k != "linkability_risk"}) == (None, False, True, "linkability_risk", "REVIEW")
+    assert verdict({k: v for k, v in good.items() if k != "memorization_risk_rate"}) == (None, False, True, "memorization_risk_rate", "REVIEW")
+    assert verdict({k: v for k, v in good.items() if k != "memorization_risk_rate"}, numerical=False) == (100, True, True, "", "PASS")
+    assert verdict(good | {"inference_advantage": None, "subspace_pass": None}) == (90, False, True, "inference_advantage,subspace_pass", "REVIEW")
+    bad = {"singling_out_risk": 0.2, "linkability_risk": 0.2, "memorization_risk_rate": 0.2, "subspace_pass": 0.0}
+    assert verdict(good | bad) == (50, False, True, "linkability_risk,memorization_risk_rate,singling_out_risk,subspace_pass", "FAIL")
+    assert verdict({k: 9.0 if k.endswith(("risk", "rate", "ratio", "advantage")) and "preservation" not in k else 0.0 for k, *_ in assess.CHECKS})[0] == 0
+
+
 def test_evaluate(spark):
     df = spark.range(300).select(F.col("id"), (F.col("id") % 23).cast("double").alias("age"), (F.hash("id") % 1000).cast("double").alias("cost"), (F.col("id") % 4).cast("string").alias("g"), (F.col("id") % 3).cast("string").alias("h"))
     plan = ColumnPlan(("g", "h"), ("age", "cost"))
