@@ -103,9 +103,13 @@ def duplicate_report(original: DataFrame, derived: DataFrame, columns: list[str]
     return found.select("rows", "exact_duplicates", F.round(rate, 4).alias("exact_duplicate_rate"), "unique_duplicates", F.round(F.col("unique_duplicates") / F.greatest("rows", F.lit(1)), 4).alias("unique_duplicate_rate"), status.alias("status"))
 
 
-def binned_keys(df: DataFrame, reference: DataFrame, categorical: list[str], numerical: list[str], bins: int = 10) -> DataFrame:
-    """df with `_key`: categories and quantile bins of the reference, joined by two bars; missing values are __NA__."""
-    edges = quantiles(reference, {c: number(F.col(c), reference.schema[c].dataType) for c in numerical}, [i / bins for i in range(bins + 1)]) if numerical else {}
+def bin_edges(reference: DataFrame, numerical: list[str], bins: int = 10) -> dict[str, list[float] | None]:
+    """The quantiles that cut each number of the reference into bins."""
+    return quantiles(reference, {c: number(F.col(c), reference.schema[c].dataType) for c in numerical}, [i / bins for i in range(bins + 1)]) if numerical else {}
+
+
+def binned_keys(df: DataFrame, edges: dict[str, list[float] | None], categorical: list[str], numerical: list[str]) -> DataFrame:
+    """df with `_key`: categories and bins between the edges, joined by two bars; missing values are __NA__."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("__NA__")) for c in categorical]
     for c in numerical:  # `bins` + 1 numbers a column
         cuts = sorted(set(edges[c] or []))
@@ -120,9 +124,11 @@ def binned_keys(df: DataFrame, reference: DataFrame, categorical: list[str], num
 
 def singling_out(original: DataFrame, derived: DataFrame, categorical: list[str], numerical: list[str], bins: int = 10) -> DataFrame:
     """One row: rows, matched_rows, singleout_rate: derived rows whose binned key the original has."""
-    left = binned_keys(derived, original, categorical, numerical, bins)
-    right = binned_keys(original, original, categorical, numerical, bins).select("_key").distinct().withColumn("_hit", F.lit(1))
-    found = left.join(right, "_key", "left").agg(F.count("*").alias("rows"), F.count("_hit").alias("matched_rows"))
+    edges = bin_edges(original, numerical, bins)
+    left = binned_keys(derived, edges, categorical, numerical)
+    right = binned_keys(original, edges, categorical, numerical).select("_key").distinct().withColumn("_hit", F.lit(1))
+    counted = left.groupBy("_key").agg(F.count("*").alias("_n")).join(right, "_key", "left")  # a row a key, however many rows have it
+    found = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("_hit") == 1, F.col("_n"))), F.lit(0)).alias("matched_rows"))
     return found.select("rows", "matched_rows", (F.col("matched_rows") / F.greatest("rows", F.lit(1))).alias("singleout_rate"))
 
 
@@ -134,8 +140,9 @@ def attribute_inference(original: DataFrame, derived: DataFrame, quasi: list[str
     """
     used = [*quasi, sensitive]
     rows = original.select(*used).dropna()
-    guesses = derived.select(*used).dropna().groupBy(*quasi).agg(F.mode(sensitive, deterministic=True).alias("_guess"))
-    common = original.agg(F.mode(sensitive, deterministic=True).alias("m")).first()["m"]
+    most = F.min(F.struct((-F.col("_n")).alias("n"), F.col(sensitive).alias("v")))["v"]  # over counted values: no task holds a group's rows
+    guesses = derived.select(*used).dropna().groupBy(*used).agg(F.count("*").alias("_n")).groupBy(*quasi).agg(most.alias("_guess"))
+    common = original.where(F.col(sensitive).isNotNull()).groupBy(sensitive).agg(F.count("*").alias("_n")).agg(most.alias("m")).first()["m"]
     kind = original.schema[sensitive].dataType
     usual = F.lit(common).cast(kind)
     guess = F.coalesce("_guess", usual)
