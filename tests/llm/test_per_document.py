@@ -395,13 +395,14 @@ def test_placed_rows_are_written_whole(spark, tmp_path):
 
 
 def test_shard_query_writes_the_table(spark, tmp_path):
-    from lumatab.llm import queries
+    from lumatab.llm import queries, shared
 
     hard(spark).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op4_shard_table(spark, str(tmp_path))
     files = got.inputFiles()
     assert rows(got) == rows(shard_table.place(hard(spark), shard_table.SHARDS).select("doc_id", "slot", "shard"))
-    assert files and all("/lumatab/placed-" in f and "/shard=shard-" in f for f in files)
+    home = shared.home(spark).removeprefix("file:").lstrip("/")
+    assert files and all(f"/{home}/placed-" in f and "/shard=shard-" in f for f in files)
     assert rows(spark.read.parquet(*files).select("doc_id", "text")) == rows(hard(spark).select("doc_id", "text"))
 
 
