@@ -52,3 +52,31 @@ def running_totals(df: DataFrame, group: str, order: str, totals: dict[str, str]
     joined = inside.join(F.broadcast(sums), [group, "_part"])  # at most groups x parts rows
     extra = [F.coalesce("_next", "_after").alias(following)] if following else []
     return joined.select(*df.columns, *((F.col(f"_w_{k}") + F.col(f"_b_{k}")).alias(k) for k in totals), *extra)
+
+
+def row_numbers(df: DataFrame, order: list[str], ties: list[str], name: str, part_rows: int = 250_000) -> DataFrame:
+    """df with a column of row numbers from 0 in the order of some columns, nulls first, then of `ties`; one task holds a range of the order.
+
+    The ranges are cut at literals found once from a sample of keys, so that rows and the counts of ranges see the same ones;
+    the sample decides how even the ranges are, not the numbers. Equal keys share a range.
+    """
+    rows = df.count()
+    parts, width = min(4096, rows // part_rows + 1), 64
+    kinds = [df.schema[c].dataType for c in order]
+    key = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)))
+    part = F.lit(0)
+    if parts > 1:
+        some = df.select(key.alias("k")).sample(min(1.0, 50 * parts / rows), seed=0).agg(F.array_sort(F.collect_list("k")).alias("k"))
+        at = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / parts).cast("int")))
+        found = some.select(F.array_distinct(F.array_compact(at))).first()[0]  # a key a range
+        cuts = [F.struct(*(F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, kinds, strict=True)))) for c in found]
+        if len(cuts) <= width:
+            part = part_of(key, cuts)
+        else:
+            top = part_of(key, cuts[width - 1 :: width])
+            lists = F.array(*(F.array(*cuts[i : i + width]) for i in range(0, len(cuts), width)))
+            part = top * width + F.coalesce(F.size(F.filter(F.get(lists, top), lambda c: c < key)), F.lit(0))
+    cut = df.withColumn("_part", part)
+    before = cut.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row a range
+    inside = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*(f"`{c}`" for c in [*order, *ties]))))
+    return inside.join(F.broadcast(before), "_part").select(*(f"`{c}`" for c in df.columns), (F.col("_before") + F.col("_n") - 1).alias(name))

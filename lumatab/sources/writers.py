@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumatab.operators.running import row_numbers
+
 #: Allowed conversions of tables: from a format to others.
 CONVERSIONS = {"csv": ("tsv", "json", "jsonl", "xml", "parquet", "sql", "md", "html"), "tsv": ("csv", "json", "jsonl", "xml", "parquet", "sql", "md", "html"), "json": ("csv", "tsv", "jsonl", "xml", "parquet", "sql", "md", "html"), "jsonl": ("csv", "tsv", "json", "xml", "parquet", "sql", "md", "html"), "xml": ("csv", "tsv", "json", "jsonl", "parquet", "sql", "md", "html"), "parquet": ("csv", "tsv", "json", "jsonl", "xml", "sql", "md", "html")}
 ALIASES = {"pq": "parquet", "ndjson": "jsonl", "markdown": "md", "htm": "html", "txt": "csv"}
@@ -52,18 +54,13 @@ def insert_rows(df: DataFrame, booleans: bool = True) -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", *(_literal(F.col(f"`{f.name}`"), f.dataType if booleans or not isinstance(f.dataType, T.BooleanType) else T.StringType()) for f in df.schema.fields)), F.lit(")"))
 
 
-def insert_statements(df: DataFrame, table: str, order: list[str], rows_per_statement: int = 500) -> DataFrame:
-    """(statement_no, statement) with so many rows each, in order: rows are numbered in ranges, no task sorts all."""
+def insert_statements(df: DataFrame, table: str, order: list[str], rows_per_statement: int = 500, part_rows: int = 250_000) -> DataFrame:
+    """(statement_no, statement) with so many rows each, in order: rows are numbered in ranges of about `part_rows` rows, no task sorts all."""
     safe = table.replace("`", "").replace(";", "").replace("'", "").strip() or "converted_data"
     columns = ", ".join("`" + c.strip().replace("`", "") + "`" for c in df.columns)
-    from pyspark.sql import Window
-
-    text = insert_rows(df)
-    ranged = df.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)), text.alias("_row")).repartitionByRange(*(f"_o{i}" for i in range(len(order)))).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*(f"_o{i}" for i in range(len(order))), "_row")))
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row a partition
-    numbered = ranged.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_n") - 1)
+    keys = [f"_o{i}" for i in range(len(order))]
+    texts = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(order, keys, strict=True)), insert_rows(df).alias("_row"))
+    numbered = row_numbers(texts, keys, ["_row"], "_at", part_rows)
     group = F.floor(F.col("_at") / rows_per_statement)
     lines = numbered.groupBy(group.alias("statement_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_row"))), lambda r: F.concat(F.lit("  "), r["_row"])), ",\n").alias("v"))  # `rows_per_statement` rows a group
     return lines.select("statement_no", F.concat(F.lit(f"INSERT INTO `{safe}` ({columns}) VALUES\n"), F.col("v"), F.lit(";")).alias("statement"))

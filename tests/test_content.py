@@ -230,3 +230,24 @@ def test_stream(spark, tmp_path):
     run = windowed_observations(stream, "ts", "k", "v").writeStream.outputMode("complete").format("memory").queryName("observed").trigger(availableNow=True).start()
     run.awaitTermination()
     assert [(r.seen, r.nulls, r.zeros) for r in spark.table("observed").orderBy("window_start").collect()] == [(2, 1, 0), (1, 0, 1)]
+
+
+def test_statement_numbers_over_many_ranges(spark):
+    """Numbers without gaps or repeats when ranges are cut from a sample and no partition is merged, against plain sorting."""
+    from lumatab.operators.running import row_numbers
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = spark.range(0, 60_000, 1, 7).select((F.col("id") * 7919 % 60_000).alias("n"))
+        got = writers.insert_statements(many, "t", ["n"], 500).orderBy("statement_no").collect()
+        assert [r.statement_no for r in got] == list(range(120))
+        assert all(r.statement == "INSERT INTO `t` (`n`) VALUES\n" + ",\n".join(f"  ({n})" for n in range(i * 500, i * 500 + 500)) + ";" for i, r in enumerate(got))
+        rows = [(None if i % 11 == 0 else f"k{i % 97}", None if i % 13 == 0 else float(i % 7), i) for i in range(3000)]
+        want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0.0, r[2]))
+        mixed = spark.createDataFrame(rows, "a string, b double, i int").repartition(5, "i")
+        for part_rows in (10, 100, 10_000):
+            numbered = row_numbers(mixed, ["a", "b"], ["i"], "at", part_rows).orderBy("at").collect()
+            assert [tuple(r) for r in numbered] == [(*r, at) for at, r in enumerate(want)]
+        assert row_numbers(mixed.where("i < 0"), ["a"], ["i"], "at").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
