@@ -254,12 +254,13 @@ def subspace_distance(original: DataFrame, derived: DataFrame, numerical: list[s
     return found.select(*(F.round(c, 6).alias(c) for c in found.columns), status.alias("status"))
 
 
-def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: list[str], quasi: list[str] | None = None, bounds: dict[str, tuple[float, float]] | None = None, seed: int = 42, attempts: int = 8) -> DataFrame:
+def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: list[str], quasi: list[str] | None = None, bounds: dict[str, tuple[float, float]] | None = None, seed: int = 42, attempts: int = 8, small: int = 32 << 20) -> DataFrame:
     """derived without copies of original rows: numbers outside the quasi-identifiers are moved a little, until the row is no copy.
 
     Then rows whose quasi-identifiers occur once in the original get them generalised, numbers moved and text
-    replaced by a label. A row for which no attempt helps is left out. All attempts are made at once, for
-    matched rows only, and tested by anti-joins; the first that holds is kept.
+    replaced by a label. A row for which no attempt helps is left out. Attempts are looked up one after the other, the row as it is
+    first: while the original's distinct values take at most `small` bytes, in a broadcast table, without moving rows between
+    tasks; beyond, by joins of the rows still open.
     """
     from pyspark.sql import types as T
 
@@ -283,27 +284,46 @@ def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: li
             value = F.greatest(F.lit(float(bounds[c][0])), F.least(F.lit(float(bounds[c][1])), value))
         return value.cast(derived.schema[c].dataType)
 
-    def first_free(rows: DataFrame, options: list[dict[str, Column]], taken: DataFrame, on: list[str]) -> DataFrame:
-        """Each row with its first option that is not among the taken ones."""
-        if not options:
-            return rows.limit(0)
-        tries = F.explode(F.array(*(F.struct(F.lit(i).alias("_try"), *(o.get(c, F.col(c)).alias(c) for c in rows.columns)) for i, o in enumerate(options))))
-        spread = rows.select(tries.alias("t"), F.struct(*rows.columns).alias("_old")).select("t.*", "_old")
-        right = taken.select(*(F.col(c).alias(f"_t_{c}") for c in on))
-        free = spread.join(right, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in on)), "left_anti")
-        best = free.groupBy(key, "_old").agg(F.min_by(F.struct(*rows.columns), "_try").alias("r"))
-        return best.select("r.*")
-
-    marked = matched_rows(original, derived, columns)
-    clean, copied = marked.where("_copies = 0").drop("_copies"), marked.where("_copies > 0").drop("_copies")
-    options = [{c: moved(c, a, 0.05)} for c in numeric if c not in quasi for a in range(attempts)]
-    options = [{c: F.when(F.col(c).isNotNull(), v).otherwise(F.col(c)) for c, v in o.items()} for o in options]
-    out = clean.unionByName(first_free(copied, options, original.select(*columns).distinct(), columns))
+    def fits(on: list[str]) -> bool:
+        """Whether the original's distinct values of some columns, at 64 bytes a row besides their texts, are few enough for a broadcast."""
+        texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in on if isinstance(original.schema[c].dataType, (T.StringType, T.BinaryType))]
+        found = original.agg(F.approx_count_distinct(F.xxhash64(*on)).alias("n"), F.max(reduce(lambda x, y: x + y, texts, F.lit(64))).alias("width")).first()
+        return found["n"] * (found["width"] or 64) <= small
+
+    def first_free(rows: DataFrame, options: list[tuple[str, Column]], taken: DataFrame, on: list[str]) -> DataFrame:
+        """Each row as it is, or else with the first option, a value for a column, that is not among the taken ones."""
+        names, hits = rows.columns, taken.select(*(F.col(c).alias(f"_t_{c}") for c in on), F.lit(True).alias("_taken"))
+        same = lambda at: reduce(lambda x, y: x & y, (at.get(c, F.col(c)).eqNullSafe(F.col(f"_t_{c}")) for c in on))
+        ways = [(on[0], F.col(on[0])), *options]
+        if fits(on):
+            rows = rows.withColumn("_try", F.lit(None).cast("int"))
+            for i, (c, v) in enumerate(ways):  # a value is only worked out while the row is open
+                met = rows.join(F.broadcast(hits), same({c: F.when(F.col("_try").isNull(), v)} if i else {}), "left")
+                rows = met.select(*names, F.coalesce("_try", F.when(F.col("_taken").isNull(), F.lit(i))).alias("_try"))
+            put = {c: F.coalesce(*(F.when(F.col("_try") == i, v) for i, (x, v) in enumerate(ways) if i and x == c), F.col(c)) for c in {x for x, _ in options}}
+            return rows.where("_try IS NOT NULL").select(*(put.get(c, F.col(c)).alias(c) for c in names))
+        cut = (lambda df: df.checkpoint()) if rows.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+        rounds = [ways[:1]]  # then a column's first attempt, and its others together
+        for c in dict.fromkeys(x for x, _ in options):
+            mine = [w for w in options if w[0] == c]
+            rounds += [mine[:1], mine[1:]] if len(mine) > 1 else [mine]
+        done, left = [], cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+        for several in rounds:
+            c = several[0][0]
+            tries = left.select("*", F.posexplode(F.array_distinct(F.array(*(v for _, v in several)))).alias("_try", "_v"))
+            tries = tries.select("_id", "_try", *(F.col("_v" if x == c else x).alias(x) for x in names))
+            best = cut(tries.join(hits, same({}), "left_anti").groupBy("_id").agg(F.min_by(F.struct(*names), "_try").alias("r")))
+            done.append(best.select("r.*"))
+            left = cut(left.join(best.select("_id"), "_id", "left_anti"))
+            if left.isEmpty():
+                break
+        return reduce(DataFrame.unionByName, done)
+
+    kept = lambda c, v: F.when(F.col(c).isNotNull(), v)
+    options = [(c, kept(c, moved(c, a, 0.05))) for c in numeric if c not in quasi for a in range(attempts)]
+    out = first_free(derived, options, original.select(*columns).distinct(), columns)
     if not quasi:
         return out
     once = original.groupBy(*quasi).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    right = once.select(*(F.col(c).alias(f"_u_{c}") for c in quasi))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_u_{c}")) for c in quasi))
-    safe, risky = out.join(right, same, "left_anti"), out.join(right, same, "left_semi")
-    ways = [{c: moved(c, a, 0.1)} for c in quasi if is_number(c) for a in range(attempts)] + [{c: F.lit("GENERALIZED")} for c in quasi if not is_number(c)]
-    return safe.unionByName(first_free(risky, ways, once, quasi))
+    ways = [(c, moved(c, a, 0.1)) for c in quasi if is_number(c) for a in range(attempts)] + [(c, F.lit("GENERALIZED")) for c in quasi if not is_number(c)]
+    return first_free(out, ways, once, quasi)

@@ -69,6 +69,21 @@ def test_escape_from_copies(spark):
     assert disclosure.escape_copies(fixed, fixed, "id", ["region"]).count() == 0  # nothing can be moved
 
 
+def test_escapes_keep_equal_rows_and_stay_narrow(spark):
+    """Equal rows are all kept, the search by joins finds what the broadcast one does, and that one moves only the original's rows."""
+    raw = spark.range(400).select((F.col("id") % 5).cast("int").alias("n"), F.when(F.col("id") % 7 > 0, (F.col("id") % 7).cast("double")).alias("x"), (F.col("id") % 3).cast("string").alias("g"))
+    made = raw.withColumn("id", F.monotonically_increasing_id().cast("string")).unionByName(spark.createDataFrame([("twin", 1, 2.0, "1")] * 3 + [("new", 9, 9.0, "z"), ("odd", None, None, None)], "id string, n int, x double, g string"))
+    for quasi in (None, ["n", "g"]):
+        few = disclosure.escape_copies(raw, made, "id", ["n", "x", "g"], quasi=quasi)
+        many = disclosure.escape_copies(raw, made, "id", ["n", "x", "g"], quasi=quasi, small=0)
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    out = disclosure.escape_copies(raw, made, "id", ["n", "x", "g"])
+    assert out.where("id = 'twin'").count() == 3 and out.where("id IN ('new', 'odd')").count() == 2
+    assert out.join(raw, [out[c].eqNullSafe(raw[c]) for c in ("n", "x", "g")], "left_semi").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and "min_by" not in plan
+
+
 def test_temporal_roles(spark):
     df = spark.createDataFrame([("1990-01-01", "2015-01-01", "2020-01-01", "2016-01-01", "2018-01-01", "x")], "`생년월일` string, `입사일` string, `퇴사일` string, `가입일` string, `탈퇴일` string, memo string")
     got = shape.temporal_constraints(df)
