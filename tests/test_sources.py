@@ -1,6 +1,7 @@
 """Readers on whole files: encodings, delimiters, workbooks, definitions, deep nesting."""
 
 import io
+import random
 import time
 import unicodedata
 import zipfile
@@ -104,6 +105,24 @@ def test_replacement_lists(spark):
     assert not any(o == "Ann" for o, _ in found)
 
 
+def test_originals_inside_other_texts(spark):
+    """Against plain loops, with originals looked up in tasks, by the join, and both; and without pairs of all texts that share their rarest characters."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abé홍1 ") for _ in range(r.choice([1, 2, 3, 4, 5, 7, 8, 9, 17, 70]))) for _ in range(150)]
+    items = [(w, r.choice(words) + r.choice(["", "x", r.choice(words)])) for w in words] + [(None, words[0]), ("", words[1]), (words[3], None)]
+    originals = {a for a, _ in items if a}
+    want = {(a, b, "leak") for a, b in items if b and any(o in b for o in originals)} | {(a, b, "overlap") for a, b in items if a and any(o != a and o in a for o in originals)}
+    df = spark.createDataFrame(items, "a string, b string")
+    for shortest in (0, 20, 8192):
+        got = [tuple(x) for x in text_rules.replacement_faults(df, "a", "b", shortest).collect() if x.fault in ("leak", "overlap")]
+        assert len(got) == len(set(got)) and set(got) == want
+    alike = spark.range(20_000, 40_000).select(F.concat(F.lit("Order 1"), F.col("id").cast("string")).alias("a"), F.lit("y").alias("b"))
+    for shortest in (0, 8192):
+        faults = text_rules.replacement_faults(alike.unionByName(spark.createDataFrame([("r 1200", "y")], "a string, b string")), "a", "b", shortest).where("fault = 'overlap'")
+        assert faults.count() == 100
+        assert "Contains" not in faults._jdf.queryExecution().optimizedPlan().toString()  # no pairs to try
+
+
 def test_holdout_is_exact(spark):
     df = spark.range(107)
     fit, control = generate.holdout(df, "id")
