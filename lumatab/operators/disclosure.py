@@ -274,34 +274,63 @@ def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: li
     mad = quantiles(both, {c: F.abs(F.col(c) - (mid[c][1] if mid[c] else 0.0)) for c in numeric}, [0.5]) if numeric else {}
     scale = {c: max((mid[c][2] - mid[c][0]) / 1.349, 1.4826 * mad[c][0], abs(mid[c][1]) * 0.01, 1e-6) if mid[c] else 1.0 for c in numeric}
 
-    def moved(c: str, attempt: int, start: float) -> Column:
-        whole = isinstance(derived.schema[c].dataType, T.IntegralType)
-        width = scale[c] * (start + 0.05 * attempt)
-        z = normal(F.col(key), seed, f"{c}:{attempt}")
-        step = F.signum(z) * max(1, round(width)) if whole else z * width
-        value = F.col(c).cast("double") + F.when(step == 0, F.lit(width)).otherwise(step)
+    whole = lambda c: isinstance(derived.schema[c].dataType, T.IntegralType)
+    width = lambda c, attempt, start: scale[c] * (start + 0.05 * attempt)
+
+    def put(c: str, value: Column) -> Column:
         if c in bounds:
             value = F.greatest(F.lit(float(bounds[c][0])), F.least(F.lit(float(bounds[c][1])), value))
         return value.cast(derived.schema[c].dataType)
 
+    def moved(c: str, attempt: int, start: float) -> Column:
+        w = width(c, attempt, start)
+        z = normal(F.col(key), seed, f"{c}:{attempt}")
+        step = F.signum(z) * max(1, round(w)) if whole(c) else z * w
+        return put(c, F.col(c).cast("double") + F.when(step == 0, F.lit(w)).otherwise(step))
+
+    def ends(c: str, start: float) -> list[Column]:
+        """All values that attempts can give a whole number, where they are few: a draw is never 0, so they are a step up and down."""
+        steps = {max(1, round(width(c, a, start))) for a in range(attempts)} if whole(c) else set()
+        return [put(c, F.col(c).cast("double") + x * d) for d in sorted(steps) for x in (1, -1)] if 2 * len(steps) < attempts else []
+
     def fits(on: list[str]) -> bool:
         """Whether the original's distinct values of some columns, at 64 bytes a row besides their texts, are few enough for a broadcast."""
         texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in on if isinstance(original.schema[c].dataType, (T.StringType, T.BinaryType))]
         found = original.agg(F.approx_count_distinct(F.xxhash64(*on)).alias("n"), F.max(reduce(lambda x, y: x + y, texts, F.lit(64))).alias("width")).first()
         return found["n"] * (found["width"] or 64) <= small
 
-    def first_free(rows: DataFrame, options: list[tuple[str, Column]], taken: DataFrame, on: list[str]) -> DataFrame:
+    def hashed(at: dict[str, Column], on: list[str]) -> Column:
+        """A hash that is the same for values that are equal; columns of unlike kinds take no part, numbers do as doubles."""
+        numbers = lambda c: all(isinstance(x.schema[c].dataType, T.NumericType) for x in (original, derived))
+        return F.xxhash64(F.lit(0), *(at[c].cast("double") if numbers(c) else at[c] for c in on if numbers(c) or original.schema[c].dataType == derived.schema[c].dataType))
+
+    def first_free(rows: DataFrame, options: list[tuple[str, Column]], taken: DataFrame, on: list[str], start: float) -> DataFrame:
         """Each row as it is, or else with the first option, a value for a column, that is not among the taken ones."""
         names, hits = rows.columns, taken.select(*(F.col(c).alias(f"_t_{c}") for c in on), F.lit(True).alias("_taken"))
-        same = lambda at: reduce(lambda x, y: x & y, (at.get(c, F.col(c)).eqNullSafe(F.col(f"_t_{c}")) for c in on))
         ways = [(on[0], F.col(on[0])), *options]
         if fits(on):
-            rows = rows.withColumn("_try", F.lit(None).cast("int"))
-            for i, (c, v) in enumerate(ways):  # a value is only worked out while the row is open
-                met = rows.join(F.broadcast(hits), same({c: F.when(F.col("_try").isNull(), v)} if i else {}), "left")
-                rows = met.select(*names, F.coalesce("_try", F.when(F.col("_taken").isNull(), F.lit(i))).alias("_try"))
-            put = {c: F.coalesce(*(F.when(F.col("_try") == i, v) for i, (x, v) in enumerate(ways) if i and x == c), F.col(c)) for c in {x for x, _ in options}}
-            return rows.where("_try IS NOT NULL").select(*(put.get(c, F.col(c)).alias(c) for c in names))
+            coded = F.broadcast(hits.withColumn("_code", hashed({c: F.col(f"_t_{c}") for c in on}, on)))
+
+            def looked_up(rows: DataFrame, c: str, v: Column, live: Column) -> DataFrame:
+                """rows with `_taken`, true where the row is live and taken with this value; the value is only worked out where it is live. One long is the key, the values decide."""
+                at = {x: F.col(x) for x in on} | {c: F.col("_v")}
+                rows = rows.withColumn("_v", F.when(live, v)).withColumn("_key", F.when(live, hashed(at, on)))
+                equal = reduce(lambda x, y: x + y, (at[x].eqNullSafe(F.col(f"_t_{x}")).cast("int") for x in on))
+                return rows.join(coded, (F.col("_key") == F.col("_code")) & (equal == len(on)), "left")
+
+            rows, free, shut = rows.withColumns({"_open": F.lit(True), "_shut": F.lit(False)}), F.col("_open"), F.col("_shut")
+            for i, (c, v) in enumerate(ways):
+                if i == 1 or i > 1 and c != ways[i - 1][0]:  # a column whose every value is taken needs no draws
+                    few = ends(c, start) if c in numeric else []
+                    rows = rows.withColumn("_shut", F.lit(bool(few)))
+                    for e in few:
+                        rows = looked_up(rows, c, e, free & shut).select(*names, "_open", (shut & F.col("_taken").isNotNull()).alias("_shut"))
+                live = free & ~shut
+                found = live & F.col("_taken").isNull()
+                row = [F.when(found, F.col("_v")).otherwise(F.col(x)).alias(x) if x == c and i else F.col(x) for x in names]
+                rows = looked_up(rows, c, v, live).select(*row, (free & ~found).alias("_open"), "_shut")
+            return rows.where(~free).select(*names)
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in on))
         cut = (lambda df: df.checkpoint()) if rows.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
         rounds = [ways[:1]]  # then a column's first attempt, and its others together
         for c in dict.fromkeys(x for x, _ in options):
@@ -312,7 +341,7 @@ def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: li
             c = several[0][0]
             tries = left.select("*", F.posexplode(F.array_distinct(F.array(*(v for _, v in several)))).alias("_try", "_v"))
             tries = tries.select("_id", "_try", *(F.col("_v" if x == c else x).alias(x) for x in names))
-            best = cut(tries.join(hits, same({}), "left_anti").groupBy("_id").agg(F.min_by(F.struct(*names), "_try").alias("r")))
+            best = cut(tries.join(hits, same, "left_anti").groupBy("_id").agg(F.min_by(F.struct(*names), "_try").alias("r")))
             done.append(best.select("r.*"))
             left = cut(left.join(best.select("_id"), "_id", "left_anti"))
             if left.isEmpty():
@@ -321,9 +350,9 @@ def escape_copies(original: DataFrame, derived: DataFrame, key: str, columns: li
 
     kept = lambda c, v: F.when(F.col(c).isNotNull(), v)
     options = [(c, kept(c, moved(c, a, 0.05))) for c in numeric if c not in quasi for a in range(attempts)]
-    out = first_free(derived, options, original.select(*columns).distinct(), columns)
+    out = first_free(derived, options, original.select(*columns).distinct(), columns, 0.05)
     if not quasi:
         return out
     once = original.groupBy(*quasi).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
     ways = [(c, moved(c, a, 0.1)) for c in quasi if is_number(c) for a in range(attempts)] + [(c, F.lit("GENERALIZED")) for c in quasi if not is_number(c)]
-    return first_free(out, ways, once, quasi)
+    return first_free(out, ways, once, quasi, 0.1)

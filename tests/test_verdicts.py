@@ -80,6 +80,14 @@ def test_escapes_keep_equal_rows_and_stay_narrow(spark):
     out = disclosure.escape_copies(raw, made, "id", ["n", "x", "g"])
     assert out.where("id = 'twin'").count() == 3 and out.where("id IN ('new', 'odd')").count() == 2
     assert out.join(raw, [out[c].eqNullSafe(raw[c]) for c in ("n", "x", "g")], "left_semi").count() == 0
+    unlike = made.select("id", F.col("n").cast("long"), F.when(F.col("x") == 3, -0.0).when(F.col("x") == 4, math.nan).otherwise(F.col("x")).cast("float").alias("x"), "g")
+    same = raw.withColumn("x", F.when(F.col("x") == 3, 0.0).when(F.col("x") == 4, math.nan).otherwise(F.col("x")))
+    few, many = (disclosure.escape_copies(same, unlike, "id", ["n", "x", "g"], small=size).orderBy("id", "x").collect() for size in (32 << 20, 0))
+    assert list(map(str, few)) == list(map(str, many))
+    finite = lambda rows: sorted(r.id for r in rows if r.x is not None and not math.isnan(r.x))
+    assert finite(few) == finite(unlike.collect())
+    taken = {(r.n, r.x, r.g) for r in same.collect()}
+    assert not any((r.n, r.x, r.g) in taken for r in few if r.x is None or not math.isnan(r.x))  # -0.0 is 0.0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "SortMergeJoin" not in plan and "min_by" not in plan
 
